@@ -1,0 +1,139 @@
+"""Option quotes derived from general-purpose tables, for tests, benchmarks and demos.
+
+The tables at hand hold no option chains. These projections turn each row of
+``events`` or ``lineitem`` into one quote update by integer arithmetic in cents, so
+that every engine computes bit-identical prices. Around a known forward and discount
+factor the quotes obey put-call parity up to small noise, hence boxes imply
+plausible rates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from boxrates.schema import QUOTES, conform
+
+# Fixed values of the derivation.
+TICKERS = ["SPX", "VIX", "DJX"]
+EXPIRIES = ["2024-06-21", "2024-07-19", "2024-08-16", "2024-09-20"]
+EVENT_SNAPSHOT = "2024-02-01 00:00:00"
+LINEITEM_EXPIRY_DAYS = 182
+
+
+def _pick(values: list[str], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def _leg_prices(is_call: Column, parity: Column, noise: Column, spread: Column) -> dict[str, Column]:
+    """Bid, ask, last and mark from the discounted forward minus strike (cents) and a noise term."""
+    side = F.when(is_call, F.greatest(parity, F.lit(0.0))).otherwise(
+        F.greatest(-parity, F.lit(0.0))
+    )
+    middle = side + noise
+    v = F.col("_v")
+    return {
+        "bid": F.when(v % 17 == 0, 0.0).otherwise((middle - spread) / 100.0),
+        "ask": F.when(v % 19 == 0, 0.0).otherwise((middle + spread) / 100.0),
+        "last": F.when(v % 23 == 0, 0.0).otherwise((middle - 1) / 100.0),
+        "mark": middle / 100.0,
+    }
+
+
+def _opra_symbol() -> Column:
+    return F.concat(
+        F.col("ticker"),
+        F.replace(F.substring("expiry", 3, 8), F.lit("-"), F.lit("")),
+        F.when(F.col("option_type") == "call", "C").otherwise("P"),
+        F.lpad((F.col("strike") * 1000).cast("bigint").cast("string"), 8, "0"),
+    )
+
+
+def quotes_from_events(events: DataFrame, *, daily: bool = False) -> DataFrame:
+    """Quote updates of three tickers, four expiries and 41 strikes.
+
+    All belong to one snapshot, or with ``daily`` to one per day of ``ts``.
+    """
+    v, e, s, tk = F.col("_v"), F.col("_e"), F.col("_s"), F.col("_tk")
+    rows = events.select(
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.round(F.col("value") * 100).cast("bigint").alias("_v"),
+        (F.col("event_id") % 4).alias("_e"),
+        ((F.col("event_id") * 31 + F.col("user_id")) % 41).alias("_s"),
+        (F.col("user_id") % 3).alias("_tk"),
+    )
+    forward = 4500 + 10 * tk
+    parity = ((forward - 4000 - 25 * s) * (9800 - 40 * e)).cast("double") / 100.0
+    noise = 2000 + 50 * (40 - F.abs(s - 20)) + (v % 21) - 10
+    snapshot = F.date_trunc("day", "ts") if daily else F.lit(EVENT_SNAPSHOT)
+    quotes = rows.withColumns(
+        {
+            "ticker": _pick(TICKERS, tk),
+            "expiry": _pick(EXPIRIES, e),
+            "strike": (4000 + 25 * s).cast("double"),
+            "option_type": F.when(v % 2 == 0, "call").otherwise("put"),
+            **_leg_prices(v % 2 == 0, parity, noise, 5 + 5 * (v % 4)),
+            "volume": v % 200,
+            "open_interest": v % 1000,
+            "snapshot_time": snapshot.cast("timestamp_ntz"),
+        }
+    ).withColumn("symbol", _opra_symbol())
+    return conform(quotes, QUOTES)
+
+
+def _lineitem_quotes(rows: DataFrame, strikes: int) -> DataFrame:
+    v, s = F.col("_v"), F.col("_s")
+    middle_strike = strikes // 2
+    parity = ((500 - 25 * (s + 20 - middle_strike)) * 9800).cast("double") / 100.0
+    noise = 2000 + 50 * (40 - F.abs(s - middle_strike)) + (v % 21) - 10
+    expiry = F.date_add(F.to_date("snapshot_time"), LINEITEM_EXPIRY_DAYS)
+    quotes = rows.withColumns(
+        {
+            "expiry": F.date_format(expiry, "yyyy-MM-dd"),
+            "strike": (4000 + 25 * (s + 20 - middle_strike)).cast("double"),
+            "option_type": F.when(F.col("_call"), "call").otherwise("put"),
+            **_leg_prices(F.col("_call"), parity, noise, 5 + 5 * (v % 4)),
+            "volume": F.col("l_quantity").cast("bigint"),
+            "open_interest": F.col("l_quantity").cast("bigint") * 10,
+        }
+    )
+    return conform(quotes, QUOTES)
+
+
+def _arrival() -> Column:
+    # One number per row that is equal only for rows with equal quotes: the key of
+    # lineitem is not unique in this data, so the price takes part as well.
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.col("_v")
+
+
+def _lineitem(lineitem: DataFrame) -> DataFrame:
+    return lineitem.withColumn("_v", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+
+
+def quotes_by_day(lineitem: DataFrame) -> DataFrame:
+    """One chain of 41 strikes per ship date: many chains, each dense at scale."""
+    rows = _lineitem(lineitem).withColumns(
+        {
+            "ticker": F.lit("LIN"),
+            "snapshot_time": F.col("l_shipdate"),
+            "seq": _arrival(),
+            "_s": (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 41,
+            "_call": F.col("l_suppkey") % 2 == 0,
+        }
+    )
+    return _lineitem_quotes(rows, 41)
+
+
+def quotes_by_supplier(lineitem: DataFrame) -> DataFrame:
+    """One chain of 9 strikes per supplier and quarter: chains grow in number with the data."""
+    rows = _lineitem(lineitem).withColumns(
+        {
+            "ticker": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
+            "snapshot_time": F.date_trunc("quarter", "l_shipdate").cast("timestamp_ntz"),
+            "seq": _arrival(),
+            "_s": (F.col("l_partkey") + F.col("l_linenumber")) % 9,
+            "_call": F.col("_v") % 2 == 0,
+        }
+    )
+    return _lineitem_quotes(rows, 9)
