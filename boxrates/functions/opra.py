@@ -6,30 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the published symbol format.
-OPRA_SYMBOL = r"^([A-Z0-9]{1,6})(\d{6})([CP])(\d{8})$"
-
-
-def _part(symbol: Column, group: int) -> Column:
-    cleaned = F.upper(F.replace(symbol, F.lit(" "), F.lit("")))
-    return F.nullif(F.regexp_extract(cleaned, OPRA_SYMBOL, group), F.lit(""))
-
-
-def opra_expiry_date(symbol: Column) -> Column:
-    # "20" is prepended because a two-digit pattern lets the parser choose the century.
-    return F.try_to_date(F.concat(F.lit("20"), _part(symbol, 2)), "yyyyMMdd")
+OPRA_SYMBOL = r"^[A-Z0-9]{1,6}\d{6}[CP]\d{8}$"
+# Characters after the root: date, C or P, strike.
+_DATE, _SIDE, _STRIKE = -15, -9, -8
 
 
 def parse_opra(symbol: Column) -> Column:
     """Struct (root, expiry, strike, option_type), NULL for anything else.
 
-    A symbol of the right shape with an impossible date is NULL as a whole.
+    Spaces and case do not matter. A symbol of the right shape with an impossible date
+    is NULL as a whole.
     """
-    expiry = opra_expiry_date(symbol)
+    text = F.upper(F.replace(symbol, F.lit(" "), F.lit("")))
+    # All parts but the root have a fixed length, so one match and offsets suffice.
+    # "20" is prepended because a two-digit year lets the parser choose the century.
+    expiry = F.when(
+        text.rlike(OPRA_SYMBOL),
+        F.try_to_date(F.concat(F.lit("20"), F.substring(text, _DATE, 6)), "yyyyMMdd"),
+    )
     parsed = F.struct(
-        _part(symbol, 1).alias("root"),
+        F.left(text, F.length(text) + _DATE).alias("root"),
         F.date_format(expiry, "yyyy-MM-dd").alias("expiry"),
-        (_part(symbol, 4).cast("bigint") / F.lit(1000.0)).alias("strike"),
-        F.when(_part(symbol, 3) == "C", "call").otherwise("put").alias("option_type"),
+        (F.substring(text, _STRIKE, 8).cast("bigint") / F.lit(1000.0)).alias("strike"),
+        F.when(F.substring(text, _SIDE, 1) == "C", "call").otherwise("put").alias("option_type"),
     )
     return F.when(expiry.isNotNull(), parsed)
 

@@ -7,9 +7,9 @@ all names in the first nested object, and so on; the first usable value wins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Nested objects of a chain document, in search order.
@@ -47,6 +47,11 @@ def number_member(document: Column, key: str) -> Column:
     return F.nanvl(member(document, key, "double"), F.lit(None).cast("double"))
 
 
+def flat_source(document: Column) -> Column:
+    """Array of the document alone."""
+    return F.array(document)
+
+
 def nested_sources(document: Column) -> Column:
     """Array of the document and its nested objects, in search order."""
     nested = [member(document, key, "variant") for key in NESTED_SOURCES]
@@ -68,14 +73,15 @@ def first_text(sources: Column, keys: Sequence[str]) -> Column:
     return _first(sources, lambda source: [text_member(source, key) for key in keys])
 
 
-def flat_number(document: Column, keys: Sequence[str]) -> Column:
-    """First number under ``keys`` in the document itself."""
-    return F.coalesce(*[number_member(document, key) for key in keys])
-
+def computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
 
-def flat_text(document: Column, keys: Sequence[str]) -> Column:
-    """First non-empty string under ``keys`` in the document itself."""
-    return F.coalesce(*[text_member(document, key) for key in keys])
+    Plain ``withColumns`` lets the optimizer copy an expression into every later filter
+    and projection that uses it, which for these long searches multiplies the work. A
+    generator is a boundary to that.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def whole(number: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxrates.functions.opra import parse_opra, underlying
+from boxrates.functions.opra import parse_opra
 from boxrates.functions.payload import (
+    computed,
     first_number,
     first_text,
-    flat_number,
-    flat_text,
+    flat_source,
     member,
     nested_sources,
     whole,
@@ -52,19 +52,20 @@ MESSAGE_COUNTS = {"volume": ["v", "volume"], "open_interest": ["oi", "open_inter
 MESSAGE_SIZES = {"bid_size": ["bs", "bid_size"], "ask_size": ["as", "ask_size"]}
 
 
-def _typed_fields(number, source, prices, counts, sizes):
+def _typed_fields(sources, prices, counts, sizes):
+    found = {
+        name: first_number(sources, keys) for name, keys in {**prices, **counts, **sizes}.items()
+    }
     return {
-        **{name: F.coalesce(number(source, keys), F.lit(0.0)) for name, keys in prices.items()},
-        **{
-            name: F.coalesce(whole(number(source, keys)), F.lit(0).cast("bigint"))
-            for name, keys in counts.items()
-        },
-        **{name: whole(number(source, keys)) for name, keys in sizes.items()},
+        **{name: F.coalesce(found[name], F.lit(0.0)) for name in prices},
+        **{name: F.coalesce(whole(found[name]), F.lit(0).cast("bigint")) for name in counts},
+        **{name: whole(found[name]) for name in sizes},
     }
 
 
 def _call_or_put(text):
-    return F.when(F.lower(text).startswith("c"), "call").otherwise("put")
+    side = F.when(F.lower(text).startswith("c"), "call").otherwise("put")
+    return F.when(text.isNotNull(), side)
 
 
 def quotes_from_items(items: DataFrame) -> DataFrame:
@@ -73,28 +74,30 @@ def quotes_from_items(items: DataFrame) -> DataFrame:
     Input: ``ticker``, ``item`` (VARIANT), ``default_symbol``, ``seq`` and optionally
     ``snapshot_time``. The ticker is the queried one, not the root of the symbol.
     """
-    read = items.withColumn("_sources", nested_sources(F.col("item")))
     # The container's own key stands in for "symbol" only when the item has no such member.
     inherited = F.when(
         member(F.col("item"), "symbol", "variant").isNull(),
         F.nullif("default_symbol", F.lit("")),
     )
     sources = F.col("_sources")
-    read = read.withColumns(
+    read = computed(
+        items.withColumn("_sources", nested_sources(F.col("item"))),
         {
             "symbol": F.coalesce(inherited, first_text(sources, ITEM_SYMBOL)),
             "_expiry": first_text(sources, ITEM_EXPIRY),
             "_type": first_text(sources, ITEM_TYPE),
             "_strike": F.nullif(first_number(sources, ITEM_STRIKE), F.lit(0.0)),
-            **_typed_fields(first_number, sources, ITEM_PRICES, ITEM_COUNTS, ITEM_SIZES),
-        }
-    ).withColumn("_opra", parse_opra(F.col("symbol")))
-    quotes = read.withColumns(
+            **_typed_fields(sources, ITEM_PRICES, ITEM_COUNTS, ITEM_SIZES),
+        },
+    )
+    opra = F.col("_opra")
+    quotes = computed(read, {"_opra": parse_opra(F.col("symbol"))}).withColumns(
         {
-            "expiry": F.coalesce("_expiry", F.col("_opra.expiry"), F.lit("")),
-            "strike": F.coalesce("_strike", F.col("_opra.strike"), F.lit(0.0)),
-            "option_type": F.when(F.col("_type").isNotNull(), _call_or_put(F.col("_type")))
-            .otherwise(F.coalesce(F.col("_opra.option_type"), F.lit("put"))),
+            "expiry": F.coalesce("_expiry", opra["expiry"], F.lit("")),
+            "strike": F.coalesce("_strike", opra["strike"], F.lit(0.0)),
+            "option_type": F.coalesce(
+                _call_or_put(F.col("_type")), opra["option_type"], F.lit("put")
+            ),
         }
     )
     return conform(quotes, QUOTES)
@@ -133,30 +136,28 @@ def quotes_from_messages(messages: DataFrame) -> DataFrame:
     The symbol supplies whatever of expiry, strike and type the message lacks; a
     message that still lacks one of them is dropped.
     """
-    document = F.col("_document")
-    read = messages.withColumn("_document", F.try_parse_json("value"))
     if "ts" in messages.columns:
-        read = read.withColumnRenamed("ts", "snapshot_time")
-    read = read.withColumns(
+        messages = messages.withColumnRenamed("ts", "snapshot_time")
+    sources = F.col("_sources")
+    read = computed(
+        messages.withColumn("_sources", flat_source(F.try_parse_json("value"))),
         {
-            "symbol": flat_text(document, MESSAGE_SYMBOL),
-            "_expiry": flat_text(document, MESSAGE_EXPIRY),
-            "_strike": F.nullif(flat_number(document, MESSAGE_STRIKE), F.lit(0.0)),
-            "_type": flat_text(document, MESSAGE_TYPE),
-            **_typed_fields(flat_number, document, MESSAGE_PRICES, MESSAGE_COUNTS, MESSAGE_SIZES),
-        }
-    ).withColumn("_opra", parse_opra(F.col("symbol")))
-    quotes = read.withColumns(
+            "symbol": first_text(sources, MESSAGE_SYMBOL),
+            "_expiry": first_text(sources, MESSAGE_EXPIRY),
+            "_strike": F.nullif(first_number(sources, MESSAGE_STRIKE), F.lit(0.0)),
+            "_type": first_text(sources, MESSAGE_TYPE),
+            **_typed_fields(sources, MESSAGE_PRICES, MESSAGE_COUNTS, MESSAGE_SIZES),
+        },
+    )
+    opra = F.col("_opra")
+    named = read.filter(F.col("symbol").isNotNull())
+    quotes = computed(named, {"_opra": parse_opra(F.col("symbol"))}).withColumns(
         {
-            "ticker": underlying(F.col("symbol")),
-            "expiry": F.coalesce("_expiry", F.col("_opra.expiry")),
-            "strike": F.coalesce("_strike", F.col("_opra.strike")),
-            "option_type": F.coalesce("_type", F.col("_opra.option_type")),
+            "ticker": F.coalesce(opra["root"], "symbol"),
+            "expiry": F.coalesce("_expiry", opra["expiry"]),
+            "strike": F.coalesce("_strike", F.nullif(opra["strike"], F.lit(0.0))),
+            "option_type": _call_or_put(F.coalesce("_type", opra["option_type"])),
         }
-    ).filter(
-        F.col("symbol").isNotNull()
-        & F.col("expiry").isNotNull()
-        & F.coalesce(F.col("strike") != 0, F.lit(False))
-        & F.col("option_type").isNotNull()
     )
-    return conform(quotes.withColumn("option_type", _call_or_put(F.col("option_type"))), QUOTES)
+    complete = quotes.dropna(subset=["expiry", "strike", "option_type"])
+    return conform(complete, QUOTES)
