@@ -483,28 +483,28 @@ UNION ALL
 SELECT i.ticker, w.expiry, strike, option_type, bid, ask, symbol, item_seq AS seq
 FROM items i JOIN wanted w ON i.ticker = w.ticker WHERE blank""",
     ),
-    "snapshot_roundtrip": _boxes(BY_DAY, FULL),
+    "snapshot_roundtrip": _boxes(BY_SUPPLIER, FULL),
     "snapshot_history": _boxes(
-        BY_DAY,
+        BY_SUPPLIER,
         f"""
 SELECT {CHAIN}, kl, ks FROM b
-WHERE snapshot_time >= TIMESTAMP '1998-06-05 00:00:00'
+WHERE snapshot_time >= TIMESTAMP '1999-11-16 00:00:00'
    OR snapshot_time = (SELECT max(snapshot_time) FROM b)""",
     ),
     "snapshot_retained": _boxes(
-        BY_DAY,
+        BY_SUPPLIER,
         f"""
 SELECT {CHAIN}, kl, ks FROM b
 WHERE snapshot_time IN (
-  SELECT DISTINCT snapshot_time FROM b ORDER BY snapshot_time DESC LIMIT 500)""",
+  SELECT DISTINCT snapshot_time FROM b ORDER BY snapshot_time DESC LIMIT 6)""",
     ),
     "snapshot_status": _boxes(
-        BY_DAY,
+        BY_SUPPLIER,
         "SELECT count(DISTINCT snapshot_time) AS snapshots, max(snapshot_time) AS last_snapshot"
         " FROM b",
     ),
     "collector_status": _boxes(
-        BY_DAY,
+        BY_SUPPLIER,
         """
 SELECT count(*) FILTER (snapshot_time = newest) AS rows, max(snapshot_time) AS last_snapshot
 FROM b, (SELECT max(snapshot_time) AS newest FROM b)""",

@@ -41,12 +41,12 @@ PARAMS = RateParams(
     min_strike_gap=5.0,
     max_strike_gap=400.0,
     max_abs_rate=1.0,
-    max_snapshots_retained=500,
+    max_snapshots_retained=6,
 )
 MIN_VOLUME = 20
 VIEW_EXPIRY = "2024-07-19"
-AS_OF = datetime(1998, 6, 15)
-HISTORY_MINUTES = 60 * 24 * 10
+AS_OF = datetime(2000, 11, 15)
+HISTORY_MINUTES = 60 * 24 * 365
 
 # Items of a landed page, and pages of a stream of items.
 PAGE_EVENTS = 200
@@ -586,7 +586,7 @@ def _unique_pages(spark, sf_dir) -> DataFrame:
 
 def _stored(spark, sf_dir) -> DataFrame:
     path = work_dir(spark, "snapshots")
-    snapshots.write_snapshot(_day_boxes(spark, sf_dir), path)
+    snapshots.write_snapshot(_supplier_boxes(spark, sf_dir), path)
     return snapshots.scan_snapshots(spark, path)
 
 

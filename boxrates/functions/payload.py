@@ -27,50 +27,72 @@ NESTED_SOURCES = [
 ]
 
 
-def member(document: Column, key: str, data_type: str) -> Column:
-    """Member ``key`` of an object, NULL when absent or not convertible."""
-    return F.try_variant_get(document, f"$['{key}']", data_type)
+_MEMBERS = "map<string,variant>"
+
+
+def members(value: Column) -> Column:
+    """Members of an object by name; NULL for anything but an object."""
+    return F.try_variant_get(value, "$", _MEMBERS)
 
 
 def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def text_member(document: Column, key: str) -> Column:
+def text_member(source: Column, key: str) -> Column:
     """Member ``key`` if it is a non-empty JSON string; other JSON types do not count."""
-    is_text = F.schema_of_variant(member(document, key, "variant")) == "STRING"
-    return F.when(is_text, F.nullif(member(document, key, "string"), F.lit("")))
+    value = source[key]
+    text = F.nullif(F.try_variant_get(value, "$", "string"), F.lit(""))
+    # Nested, so that an absent member costs one lookup.
+    return F.when(value.isNotNull(), F.when(F.schema_of_variant(value) == "STRING", text))
 
 
-def number_member(document: Column, key: str) -> Column:
+def number_member(source: Column, key: str) -> Column:
     """Member ``key`` as a double; text that is no number, and NaN, do not count."""
-    return F.nanvl(member(document, key, "double"), F.lit(None).cast("double"))
+    number = F.try_variant_get(source[key], "$", "double")
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def flat_source(document: Column) -> Column:
-    """Array of the document alone."""
-    return F.array(document)
+    """The document as the only source."""
+    return F.array_compact(F.array(members(document)))
 
 
 def nested_sources(document: Column) -> Column:
-    """Array of the document and its nested objects, in search order."""
-    nested = [member(document, key, "variant") for key in NESTED_SOURCES]
-    return F.array_compact(F.array(document, *nested))
+    """The document and its nested objects as sources, in search order."""
+
+    def with_nested(own: Column) -> Column:
+        return F.array_compact(F.array(own, *[members(own[key]) for key in NESTED_SOURCES]))
 
+    # A list of one binds the members to a name, so that they are unpacked once.
+    return F.flatten(F.transform(flat_source(document), with_nested))
 
-def _first(sources: Column, candidates) -> Column:
-    per_source = F.transform(sources, lambda source: F.array(*candidates(source)))
-    return F.get(F.array_compact(F.flatten(per_source)), 0)
 
+def search(
+    sources: Column, numbers: Mapping[str, Sequence[str]], texts: Mapping[str, Sequence[str]]
+) -> Column:
+    """Look every field up in every source (a map of members): array of structs, one per source.
+
+    ``numbers`` and ``texts`` name the fields and the keys to try for each. All fields
+    are found in one walk over the sources; ``found`` then picks from the result.
+    """
+
+    def fields(source: Column) -> Column:
+        values = [
+            F.coalesce(*[number_member(source, key) for key in keys]).alias(name)
+            for name, keys in numbers.items()
+        ] + [
+            F.coalesce(*[text_member(source, key) for key in keys]).alias(name)
+            for name, keys in texts.items()
+        ]
+        return F.struct(*values)
 
-def first_number(sources: Column, keys: Sequence[str]) -> Column:
-    """First number under ``keys`` over an array of sources, source by source."""
-    return _first(sources, lambda source: [number_member(source, key) for key in keys])
+    return F.transform(sources, fields)
 
 
-def first_text(sources: Column, keys: Sequence[str]) -> Column:
-    """First non-empty string under ``keys`` over an array of sources, source by source."""
-    return _first(sources, lambda source: [text_member(source, key) for key in keys])
+def found(searched: Column, name: str) -> Column:
+    """Value of a field in the first source that has one."""
+    return F.get(F.array_compact(searched.getField(name)), 0)
 
 
 def computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:

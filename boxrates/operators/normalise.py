@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from boxrates.functions.opra import parse_opra
 from boxrates.functions.payload import (
     computed,
-    first_number,
-    first_text,
     flat_source,
-    member,
+    found,
     nested_sources,
+    search,
     whole,
 )
 from boxrates.schema import QUOTES, conform
@@ -52,14 +51,14 @@ MESSAGE_COUNTS = {"volume": ["v", "volume"], "open_interest": ["oi", "open_inter
 MESSAGE_SIZES = {"bid_size": ["bs", "bid_size"], "ask_size": ["as", "ask_size"]}
 
 
-def _typed_fields(sources, prices, counts, sizes):
-    found = {
-        name: first_number(sources, keys) for name, keys in {**prices, **counts, **sizes}.items()
-    }
+def _typed_fields(searched, prices, counts, sizes):
     return {
-        **{name: F.coalesce(found[name], F.lit(0.0)) for name in prices},
-        **{name: F.coalesce(whole(found[name]), F.lit(0).cast("bigint")) for name in counts},
-        **{name: whole(found[name]) for name in sizes},
+        **{name: F.coalesce(found(searched, name), F.lit(0.0)) for name in prices},
+        **{
+            name: F.coalesce(whole(found(searched, name)), F.lit(0).cast("bigint"))
+            for name in counts
+        },
+        **{name: whole(found(searched, name)) for name in sizes},
     }
 
 
@@ -76,18 +75,25 @@ def quotes_from_items(items: DataFrame) -> DataFrame:
     """
     # The container's own key stands in for "symbol" only when the item has no such member.
     inherited = F.when(
-        member(F.col("item"), "symbol", "variant").isNull(),
+        ~F.map_contains_key(F.get("_sources", 0), F.lit("symbol")),
         F.nullif("default_symbol", F.lit("")),
     )
-    sources = F.col("_sources")
+    searched = F.col("_searched")
     read = computed(
-        items.withColumn("_sources", nested_sources(F.col("item"))),
+        items.withColumn("_sources", nested_sources(F.col("item"))).withColumn(
+            "_searched",
+            search(
+                F.col("_sources"),
+                {"_strike": ITEM_STRIKE, **ITEM_PRICES, **ITEM_COUNTS, **ITEM_SIZES},
+                {"symbol": ITEM_SYMBOL, "_expiry": ITEM_EXPIRY, "_type": ITEM_TYPE},
+            ),
+        ),
         {
-            "symbol": F.coalesce(inherited, first_text(sources, ITEM_SYMBOL)),
-            "_expiry": first_text(sources, ITEM_EXPIRY),
-            "_type": first_text(sources, ITEM_TYPE),
-            "_strike": F.nullif(first_number(sources, ITEM_STRIKE), F.lit(0.0)),
-            **_typed_fields(sources, ITEM_PRICES, ITEM_COUNTS, ITEM_SIZES),
+            "symbol": F.coalesce(inherited, found(searched, "symbol")),
+            "_expiry": found(searched, "_expiry"),
+            "_type": found(searched, "_type"),
+            "_strike": F.nullif(found(searched, "_strike"), F.lit(0.0)),
+            **_typed_fields(searched, ITEM_PRICES, ITEM_COUNTS, ITEM_SIZES),
         },
     )
     opra = F.col("_opra")
@@ -138,15 +144,22 @@ def quotes_from_messages(messages: DataFrame) -> DataFrame:
     """
     if "ts" in messages.columns:
         messages = messages.withColumnRenamed("ts", "snapshot_time")
-    sources = F.col("_sources")
+    searched = F.col("_searched")
     read = computed(
-        messages.withColumn("_sources", flat_source(F.try_parse_json("value"))),
+        messages.withColumn(
+            "_searched",
+            search(
+                flat_source(F.try_parse_json("value")),
+                {"_strike": MESSAGE_STRIKE, **MESSAGE_PRICES, **MESSAGE_COUNTS, **MESSAGE_SIZES},
+                {"symbol": MESSAGE_SYMBOL, "_expiry": MESSAGE_EXPIRY, "_type": MESSAGE_TYPE},
+            ),
+        ),
         {
-            "symbol": first_text(sources, MESSAGE_SYMBOL),
-            "_expiry": first_text(sources, MESSAGE_EXPIRY),
-            "_strike": F.nullif(first_number(sources, MESSAGE_STRIKE), F.lit(0.0)),
-            "_type": first_text(sources, MESSAGE_TYPE),
-            **_typed_fields(sources, MESSAGE_PRICES, MESSAGE_COUNTS, MESSAGE_SIZES),
+            "symbol": found(searched, "symbol"),
+            "_expiry": found(searched, "_expiry"),
+            "_strike": F.nullif(found(searched, "_strike"), F.lit(0.0)),
+            "_type": found(searched, "_type"),
+            **_typed_fields(searched, MESSAGE_PRICES, MESSAGE_COUNTS, MESSAGE_SIZES),
         },
     )
     opra = F.col("_opra")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxrates.functions.payload import first_number, is_object, nested_sources
+from boxrates.functions.payload import computed, found, is_object, nested_sources, search
 
 # Members that may hold the item list of a page, in order of preference.
 ITEM_LISTS = ["items", "options", "contracts", "option_contracts", "results"]
@@ -111,8 +111,10 @@ def underlying_price(documents: DataFrame, *, strict: bool = False) -> DataFrame
     data = F.try_variant_get(document, "$.data", "variant")
     payload = data if strict else F.coalesce(data, document)
     group = [key for key in ("ticker", "snapshot_time") if key in documents.columns]
-    priced = documents.withColumn("_payload", payload).withColumn(
-        "_price", F.when(is_object(F.col("_payload")), first_number(nested_sources(F.col("_payload")), PRICE_KEYS))
+    searched = search(nested_sources(F.col("_payload")), {"price": PRICE_KEYS}, {})
+    priced = computed(
+        documents.withColumn("_payload", payload),
+        {"_price": F.when(is_object(F.col("_payload")), found(searched, "price"))},
     )
-    found = priced.filter(F.col("_price").isNotNull())
-    return found.groupBy(*group).agg(F.min_by("_price", "priority").alias("spot_price"))
+    usable = priced.filter(F.col("_price").isNotNull())
+    return usable.groupBy(*group).agg(F.min_by("_price", "priority").alias("spot_price"))
