@@ -80,16 +80,18 @@ def box_moneyness(boxes: DataFrame) -> DataFrame:
 
 def box_leg_volumes(boxes: DataFrame) -> DataFrame:
     """Add the per-leg counts and their row-wise minimum and total volume."""
-    legs = {
-        f"{side}_{strike}_{count}": F.col(f"{side}_{count}_{strike}")
+    legs = [
+        f"{side}_{count}_{strike} AS {side}_{strike}_{count}"
         for count in ("volume", "open_interest")
         for side in ("call", "put")
         for strike in ("kl", "ks")
-    }
-    volumes = [column for name, column in legs.items() if name.endswith("_volume")]
-    total = volumes[0] + volumes[1] + volumes[2] + volumes[3]
-    return boxes.withColumns(
-        {**legs, "min_leg_volume": F.least(*volumes), "total_leg_volume": total}
+    ]
+    volumes = ["call_volume_kl", "call_volume_ks", "put_volume_kl", "put_volume_ks"]
+    return boxes.selectExpr(
+        "*",
+        *legs,
+        f"least({', '.join(volumes)}) AS min_leg_volume",
+        f"{' + '.join(volumes)} AS total_leg_volume",
     )
 
 

@@ -54,8 +54,7 @@ def strike_pairs(
     # columns (the slot covers them all) under the same filters (hence the explicit
     # ones, which the join would otherwise infer for its two sides only), so that Spark
     # computes the shuffle beneath once and reuses it.
-    for column in [*keys, "strike"]:
-        rows = rows.filter(F.col(column).isNotNull())
+    rows = rows.filter(" AND ".join(f"{column} IS NOT NULL" for column in [*keys, "strike"]))
 
     upper = lower = rows
     near = F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1))

@@ -25,16 +25,14 @@ def with_mid(quotes: DataFrame) -> DataFrame:
     )
 
 
-def _last_where(field: str, condition: Column) -> Column:
-    return F.max_by(field, F.when(condition, F.col("seq")))
+def _last_where(field: str, condition: str) -> Column:
+    return F.expr(f"max_by({field}, CASE WHEN {condition} THEN seq END)")
 
 
-def last_nonzero(field: str, also: Column | None = None) -> Column:
+def last_nonzero(field: str, data_type: str, where: str = "true") -> Column:
     """Aggregate: latest value of ``field`` that is not 0, or 0 if there is none."""
-    condition = F.col(field) != 0
-    if also is not None:
-        condition = condition & also
-    return F.coalesce(_last_where(field, condition), F.lit(0))
+    latest = f"max_by({field}, CASE WHEN {field} <> 0 AND {where} THEN seq END)"
+    return F.expr(f"CAST(coalesce({latest}, 0) AS {data_type})")
 
 
 def merge_updates(updates: DataFrame, keys: Sequence[str] = tuple(CONTRACT)) -> DataFrame:
@@ -45,12 +43,11 @@ def merge_updates(updates: DataFrame, keys: Sequence[str] = tuple(CONTRACT)) ->
     aggregation, so it combines before the shuffle - a contract with a third of all
     updates costs one row per task - and runs unchanged on a stream.
     """
-    present = F.coalesce(F.col("symbol"), F.lit("")) != ""
     aggregates = {
-        **{f: last_nonzero(f).cast("double") for f in PRICE_FIELDS},
-        **{f: last_nonzero(f).cast("bigint") for f in COUNT_FIELDS},
-        **{f: _last_where(f, F.col(f).isNotNull()) for f in SIZE_FIELDS},
-        "symbol": _last_where("symbol", present),
+        **{f: last_nonzero(f, "double") for f in PRICE_FIELDS},
+        **{f: last_nonzero(f, "bigint") for f in COUNT_FIELDS},
+        **{f: _last_where(f, f"{f} IS NOT NULL") for f in SIZE_FIELDS},
+        "symbol": _last_where("symbol", "symbol <> ''"),
         "n_updates": F.count(F.lit(1)),
         "seq": F.max("seq"),
     }

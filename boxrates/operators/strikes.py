@@ -51,17 +51,16 @@ def latest_strikes(updates: DataFrame, keys: Sequence[str] = tuple(CHAIN)) -> Da
     Equals ``merge_updates`` by contract, ``with_mid`` and ``pivot_unique``, but merges
     and pivots in a single aggregation: updates combine before the only shuffle.
     """
-    kind = F.lower("option_type")
 
     def leg(side: str):
-        is_side = kind == side
+        is_side = f"lower(option_type) = '{side}'"
         return [
-            last_nonzero("bid", is_side).cast("double").alias(f"{side}_bid"),
-            last_nonzero("ask", is_side).cast("double").alias(f"{side}_ask"),
-            last_nonzero("mark", is_side).cast("double").alias(f"_{side}_mark"),
-            last_nonzero("volume", is_side).cast("bigint").alias(f"{side}_volume"),
-            last_nonzero("open_interest", is_side).cast("bigint").alias(f"{side}_open_interest"),
-            F.count(F.when(is_side, True)).alias(f"_{side}s"),
+            last_nonzero("bid", "double", is_side).alias(f"{side}_bid"),
+            last_nonzero("ask", "double", is_side).alias(f"{side}_ask"),
+            last_nonzero("mark", "double", is_side).alias(f"_{side}_mark"),
+            last_nonzero("volume", "bigint", is_side).alias(f"{side}_volume"),
+            last_nonzero("open_interest", "bigint", is_side).alias(f"{side}_open_interest"),
+            F.expr(f"count_if({is_side})").alias(f"_{side}s"),
         ]
 
     merged = updates.groupBy(*keys, "strike").agg(*leg("call"), *leg("put"))
@@ -80,12 +79,9 @@ def latest_strikes(updates: DataFrame, keys: Sequence[str] = tuple(CHAIN)) -> Da
 
 def liquid_strikes(strikes: DataFrame, min_volume: int = 0, min_open_interest: int = 0) -> DataFrame:
     """Strikes whose call and put both reach the volume and open-interest minimum."""
-    enough = [F.col(f"{side}_volume") >= min_volume for side in SIDES]
-    enough += [F.col(f"{side}_open_interest") >= min_open_interest for side in SIDES]
-    condition = enough[0]
-    for test in enough[1:]:
-        condition = condition & test
-    return strikes.filter(condition)
+    enough = [f"{side}_volume >= {min_volume}" for side in SIDES]
+    enough += [f"{side}_open_interest >= {min_open_interest}" for side in SIDES]
+    return strikes.filter(" AND ".join(enough))
 
 
 def synthetic_forwards(strikes: DataFrame) -> DataFrame:

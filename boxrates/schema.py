@@ -7,8 +7,7 @@ every number, and a forgotten NaN test would let rows through a filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # One chain: the unit within which strikes are paired.
@@ -74,10 +73,11 @@ BOXES = T.StructType(
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to ``schema`` in its order, adding absent columns as NULL."""
-    columns: list[Column] = []
-    for field in schema.fields:
-        if field.name in df.columns:
-            columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
-        else:
-            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    present = set(df.columns)
+    return df.selectExpr(
+        *[
+            f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()})"
+            f" AS {f.name}"
+            for f in schema.fields
+        ]
+    )

@@ -9,8 +9,7 @@ plausible rates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from boxrates.schema import QUOTES, conform
 
@@ -21,32 +20,28 @@ EVENT_SNAPSHOT = "2024-02-01 00:00:00"
 LINEITEM_EXPIRY_DAYS = 182
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _case(column: str, values: list[str]) -> str:
+    return f"element_at(array({', '.join(repr(v) for v in values)}), CAST({column} + 1 AS INT))"
 
 
-def _leg_prices(is_call: Column, parity: Column, noise: Column, spread: Column) -> dict[str, Column]:
-    """Bid, ask, last and mark from the discounted forward minus strike (cents) and a noise term."""
-    side = F.when(is_call, F.greatest(parity, F.lit(0.0))).otherwise(
-        F.greatest(-parity, F.lit(0.0))
-    )
-    middle = side + noise
-    v = F.col("_v")
-    return {
-        "bid": F.when(v % 17 == 0, 0.0).otherwise((middle - spread) / 100.0),
-        "ask": F.when(v % 19 == 0, 0.0).otherwise((middle + spread) / 100.0),
-        "last": F.when(v % 23 == 0, 0.0).otherwise((middle - 1) / 100.0),
-        "mark": middle / 100.0,
-    }
-
-
-def _opra_symbol() -> Column:
-    return F.concat(
-        F.col("ticker"),
-        F.replace(F.substring("expiry", 3, 8), F.lit("-"), F.lit("")),
-        F.when(F.col("option_type") == "call", "C").otherwise("P"),
-        F.lpad((F.col("strike") * 1000).cast("bigint").cast("string"), 8, "0"),
-    )
+def _leg_prices(forward_less_strike: str, noise: str) -> list[str]:
+    """Bid, ask, last and mark of ``_call`` or put, from cents and the hash ``_v``."""
+    parity = f"CAST({forward_less_strike} AS DOUBLE) / 100.0D"
+    side = f"CASE WHEN _call THEN greatest({parity}, 0.0D) ELSE greatest(-{parity}, 0.0D) END"
+    middle, spread = f"({side} + ({noise}))", "(5 + 5 * (_v % 4))"
+    return [
+        f"CASE WHEN _v % 17 = 0 THEN 0.0D ELSE ({middle} - {spread}) / 100.0D END AS bid",
+        f"CASE WHEN _v % 19 = 0 THEN 0.0D ELSE ({middle} + {spread}) / 100.0D END AS ask",
+        f"CASE WHEN _v % 23 = 0 THEN 0.0D ELSE ({middle} - 1) / 100.0D END AS last",
+        f"{middle} / 100.0D AS mark",
+    ]
+
+
+_OPTION_TYPE = "CASE WHEN _call THEN 'call' ELSE 'put' END AS option_type"
+_SYMBOL = (
+    "concat(ticker, replace(substring(expiry, 3, 8), '-', ''), CASE WHEN _call THEN 'C' ELSE 'P'"
+    " END, lpad(CAST(CAST(strike * 1000 AS BIGINT) AS STRING), 8, '0')) AS symbol"
+)
 
 
 def quotes_from_events(events: DataFrame, *, daily: bool = False) -> DataFrame:
@@ -54,86 +49,86 @@ def quotes_from_events(events: DataFrame, *, daily: bool = False) -> DataFrame:
 
     All belong to one snapshot, or with ``daily`` to one per day of ``ts``.
     """
-    v, e, s, tk = F.col("_v"), F.col("_e"), F.col("_s"), F.col("_tk")
-    rows = events.select(
-        F.col("event_id").alias("seq"),
+    rows = events.selectExpr(
+        "event_id AS seq",
         "ts",
-        F.round(F.col("value") * 100).cast("bigint").alias("_v"),
-        (F.col("event_id") % 4).alias("_e"),
-        ((F.col("event_id") * 31 + F.col("user_id")) % 41).alias("_s"),
-        (F.col("user_id") % 3).alias("_tk"),
+        "CAST(round(value * 100) AS BIGINT) AS _v",
+        "CAST(round(value * 100) AS BIGINT) % 2 = 0 AS _call",
+        "event_id % 4 AS _e",
+        "(event_id * 31 + user_id) % 41 AS _s",
+        "user_id % 3 AS _tk",
     )
-    forward = 4500 + 10 * tk
-    parity = ((forward - 4000 - 25 * s) * (9800 - 40 * e)).cast("double") / 100.0
-    noise = 2000 + 50 * (40 - F.abs(s - 20)) + (v % 21) - 10
-    snapshot = F.date_trunc("day", "ts") if daily else F.lit(EVENT_SNAPSHOT)
-    quotes = rows.withColumns(
-        {
-            "ticker": _pick(TICKERS, tk),
-            "expiry": _pick(EXPIRIES, e),
-            "strike": (4000 + 25 * s).cast("double"),
-            "option_type": F.when(v % 2 == 0, "call").otherwise("put"),
-            **_leg_prices(v % 2 == 0, parity, noise, 5 + 5 * (v % 4)),
-            "volume": v % 200,
-            "open_interest": v % 1000,
-            "snapshot_time": snapshot.cast("timestamp_ntz"),
-        }
-    ).withColumn("symbol", _opra_symbol())
-    return conform(quotes, QUOTES)
-
-
-def _lineitem_quotes(rows: DataFrame, strikes: int) -> DataFrame:
-    v, s = F.col("_v"), F.col("_s")
-    middle_strike = strikes // 2
-    parity = ((500 - 25 * (s + 20 - middle_strike)) * 9800).cast("double") / 100.0
-    noise = 2000 + 50 * (40 - F.abs(s - middle_strike)) + (v % 21) - 10
-    expiry = F.date_add(F.to_date("snapshot_time"), LINEITEM_EXPIRY_DAYS)
-    quotes = rows.withColumns(
-        {
-            "expiry": F.date_format(expiry, "yyyy-MM-dd"),
-            "strike": (4000 + 25 * (s + 20 - middle_strike)).cast("double"),
-            "option_type": F.when(F.col("_call"), "call").otherwise("put"),
-            **_leg_prices(F.col("_call"), parity, noise, 5 + 5 * (v % 4)),
-            "volume": F.col("l_quantity").cast("bigint"),
-            "open_interest": F.col("l_quantity").cast("bigint") * 10,
-        }
+    snapshot = "date_trunc('day', ts)" if daily else f"'{EVENT_SNAPSHOT}'"
+    quotes = rows.selectExpr(
+        "seq",
+        "_call",
+        f"{_case('_tk', TICKERS)} AS ticker",
+        f"{_case('_e', EXPIRIES)} AS expiry",
+        "CAST(4000 + 25 * _s AS DOUBLE) AS strike",
+        _OPTION_TYPE,
+        *_leg_prices(
+            "((500 + 10 * _tk - 25 * _s) * (9800 - 40 * _e))",
+            "2000 + 50 * (40 - abs(_s - 20)) + (_v % 21) - 10",
+        ),
+        "_v % 200 AS volume",
+        "_v % 1000 AS open_interest",
+        f"CAST({snapshot} AS TIMESTAMP_NTZ) AS snapshot_time",
+    )
+    return conform(quotes.selectExpr("*", _SYMBOL), QUOTES)
+
+
+def _lineitem_quotes(
+    lineitem: DataFrame, *, ticker: str, snapshot: str, slot: str, is_call: str, strikes: int
+) -> DataFrame:
+    # The arrival number is equal only for rows with equal quotes: the key of lineitem is
+    # not unique in this data, so the price takes part as well.
+    rows = lineitem.selectExpr("*", "CAST(round(l_extendedprice * 100) AS BIGINT) AS _v").selectExpr(
+        f"{ticker} AS ticker",
+        f"CAST({snapshot} AS TIMESTAMP_NTZ) AS snapshot_time",
+        "(l_orderkey * 8 + l_linenumber) * 100000000 + _v AS seq",
+        "_v",
+        f"{slot} AS _s",
+        f"{is_call} AS _call",
+        "CAST(l_quantity AS BIGINT) AS volume",
+    )
+    middle = strikes // 2
+    expiry = f"date_add(to_date(snapshot_time), {LINEITEM_EXPIRY_DAYS})"
+    quotes = rows.selectExpr(
+        "ticker",
+        "snapshot_time",
+        "seq",
+        f"date_format({expiry}, 'yyyy-MM-dd') AS expiry",
+        f"CAST(4000 + 25 * (_s + 20 - {middle}) AS DOUBLE) AS strike",
+        _OPTION_TYPE,
+        *_leg_prices(
+            f"((500 - 25 * (_s + 20 - {middle})) * 9800)",
+            f"2000 + 50 * (40 - abs(_s - {middle})) + (_v % 21) - 10",
+        ),
+        "volume",
+        "volume * 10 AS open_interest",
     )
     return conform(quotes, QUOTES)
 
 
-def _arrival() -> Column:
-    # One number per row that is equal only for rows with equal quotes: the key of
-    # lineitem is not unique in this data, so the price takes part as well.
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.col("_v")
-
-
-def _lineitem(lineitem: DataFrame) -> DataFrame:
-    return lineitem.withColumn("_v", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
-
-
 def quotes_by_day(lineitem: DataFrame) -> DataFrame:
     """One chain of 41 strikes per ship date: many chains, each dense at scale."""
-    rows = _lineitem(lineitem).withColumns(
-        {
-            "ticker": F.lit("LIN"),
-            "snapshot_time": F.col("l_shipdate"),
-            "seq": _arrival(),
-            "_s": (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 41,
-            "_call": F.col("l_suppkey") % 2 == 0,
-        }
+    return _lineitem_quotes(
+        lineitem,
+        ticker="'LIN'",
+        snapshot="l_shipdate",
+        slot="(l_partkey * 31 + l_suppkey) % 41",
+        is_call="l_suppkey % 2 = 0",
+        strikes=41,
     )
-    return _lineitem_quotes(rows, 41)
 
 
 def quotes_by_supplier(lineitem: DataFrame) -> DataFrame:
     """One chain of 9 strikes per supplier and quarter: chains grow in number with the data."""
-    rows = _lineitem(lineitem).withColumns(
-        {
-            "ticker": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
-            "snapshot_time": F.date_trunc("quarter", "l_shipdate").cast("timestamp_ntz"),
-            "seq": _arrival(),
-            "_s": (F.col("l_partkey") + F.col("l_linenumber")) % 9,
-            "_call": F.col("_v") % 2 == 0,
-        }
+    return _lineitem_quotes(
+        lineitem,
+        ticker="concat('S', CAST(l_suppkey AS STRING))",
+        snapshot="date_trunc('quarter', l_shipdate)",
+        slot="(l_partkey + l_linenumber) % 9",
+        is_call="_v % 2 = 0",
+        strikes=9,
     )
-    return _lineitem_quotes(rows, 9)
