@@ -326,7 +326,7 @@ def term_structure_pooled(spark, sf_dir):
 
 
 def term_structure_scale(spark, sf_dir):
-    return _term(views.term_structure(_supplier_boxes(spark, sf_dir)))
+    return _term(views.term_structure(_stored(spark, sf_dir)))
 
 
 def rate_heatmap(spark, sf_dir):
@@ -357,7 +357,7 @@ def top_opportunities(spark, sf_dir):
 
 
 def top_opportunities_scale(spark, sf_dir):
-    return _top(_supplier_boxes(spark, sf_dir), 100)
+    return _top(_stored(spark, sf_dir), 100)
 
 
 def view_expiries(spark, sf_dir):

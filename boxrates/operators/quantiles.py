@@ -15,10 +15,6 @@ DIRECT_ROWS = 100_000
 ACCURACY = 10_000
 
 
-def _nearest(count: Column, q: float) -> Column:
-    return F.floor((count - 1) * q + 0.5)
-
-
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,20 +31,23 @@ def group_quantiles(
     Ranking needs the running count over the distinct values of a group. In groups
     above ``direct_rows`` the values that cannot be an answer are first folded
     together: approximate percentiles with a known error bracket each wanted rank,
-    and all values between two brackets become one row holding their count. That
-    leaves a small fraction of the group to sort and keeps every rank exact.
+    and all values between two brackets become one row holding their count and sum.
+    That leaves a small fraction of the group to sort and keeps every result exact.
+
+    Reads ``df`` twice, and a third time for the rows of heavy groups if there are any:
+    pass stored data rather than a long computation.
     """
-    targets = {**quantiles, "_mid_low": 0.5, "_mid_high": 0.5}
     points = sorted({0.5, *quantiles.values()})
     slack = 2.0 / ACCURACY
-    edges = [min(max(p + s, 0.0), 1.0) for p in points for s in (-slack, slack)]
-
-    summary = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.percentile_approx(value, edges, ACCURACY).alias("_edges"),
+    marks = [min(max(p + s, 0.0), 1.0) for p in points for s in (-slack, slack)]
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(heaviest(sizes, keys, "n", direct_rows).select(*keys))
+    brackets = (
+        df.join(hot, list(keys), "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(value, marks, ACCURACY).alias("_edges"))
     )
-    hot = F.broadcast(heaviest(summary, keys, "n", direct_rows).select(*keys, "_edges"))
 
     def edge(number: int) -> Column:
         return F.col("_edges")[number]
@@ -65,10 +64,10 @@ def group_quantiles(
 
     counted = (
         df.select(*keys, value)
-        .join(hot, list(keys), "left")
+        .join(F.broadcast(brackets), list(keys), "left")
         .withColumn("_value", folded)
         .groupBy(*keys, "_value")
-        .agg(F.count(F.lit(1)).alias("_count"))
+        .agg(F.count(F.lit(1)).alias("_count"), F.sum(value).alias("_sum"))
     )
     running = Window.partitionBy(*keys).orderBy("_value")
     ranked = counted.withColumns(
@@ -78,18 +77,17 @@ def group_quantiles(
         }
     )
 
-    def rank(name: str) -> Column:
-        total = F.col("_total")
-        if name == "_mid_low":
-            return F.floor((total - 1) / 2)
-        if name == "_mid_high":
-            return F.ceil((total - 1) / 2)
-        return _nearest(total, targets[name])
-
+    total = F.col("_total")
+    ranks = {name: F.floor((total - 1) * q + 0.5) for name, q in quantiles.items()}
+    ranks["_low"] = F.floor((total - 1) / 2)
+    ranks["_high"] = F.ceil((total - 1) / 2)
     picked = ranked.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("_upto") > rank(name), F.col("_value"))).alias(name) for name in targets]
-    )
-    median = (F.col("_mid_low") + F.col("_mid_high")) / 2.0
-    return summary.join(picked, list(keys)).select(
-        *keys, "n", "mean", median.alias("median"), *quantiles
+        F.sum("_count").alias("n"),
+        (F.sum("_sum") / F.sum("_count")).alias("mean"),
+        *[
+            F.min(F.when(F.col("_upto") > rank, F.col("_value"))).alias(name)
+            for name, rank in ranks.items()
+        ],
     )
+    median = (F.col("_low") + F.col("_high")) / 2.0
+    return picked.select(*keys, "n", "mean", median.alias("median"), *quantiles)

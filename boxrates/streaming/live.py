@@ -150,7 +150,8 @@ def stream_boxes(
     rebuilds the chains it changed and no others; where the parity spot pools the
     expiries of a ticker, a change in one of them changes the others' boxes too, so
     the whole ticker is rebuilt. Boxes are stamped ``as_of``, or the time of the batch.
-    The default trigger is the configured interval.
+    The default trigger is the configured interval. Name a ``checkpoint`` to be able to
+    resume after a restart.
     """
     spark = quotes.sparkSession
     unit = ["ticker"] if parity_scope == "chain" else ["ticker", "expiry"]
@@ -211,7 +212,8 @@ def collect_on_schedule(
 ) -> StreamingQuery:
     """Collect newly landed chain pages at the configured interval.
 
-    A collection that fails is logged and the next one goes on.
+    A collection that fails is logged and the next one goes on. All pages of a snapshot
+    have to land in one file, so that one micro-batch sees all of them.
     """
     pages = spark.readStream.schema(PAGES).json(pages_path)
 
