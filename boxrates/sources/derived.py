@@ -24,19 +24,26 @@ def _case(column: str, values: list[str]) -> str:
     return f"element_at(array({', '.join(repr(v) for v in values)}), CAST({column} + 1 AS INT))"
 
 
-def _leg_prices(forward_less_strike: str, noise: str) -> list[str]:
-    """Bid, ask, last and mark of ``_call`` or put, from cents and the hash ``_v``."""
+def _once(rows: DataFrame, name: str, expression: str) -> DataFrame:
+    # A generator is a boundary to the optimizer: without it, filters on prices would
+    # carry these expressions along, several times over.
+    return rows.selectExpr("*", f"explode(array({expression})) AS {name}")
+
+
+def _with_middle(rows: DataFrame, forward_less_strike: str, noise: str) -> DataFrame:
+    """Add the leg's middle price in cents."""
     parity = f"CAST({forward_less_strike} AS DOUBLE) / 100.0D"
-    side = f"CASE WHEN _call THEN greatest({parity}, 0.0D) ELSE greatest(-{parity}, 0.0D) END"
-    middle, spread = f"({side} + ({noise}))", "(5 + 5 * (_v % 4))"
-    return [
-        f"CASE WHEN _v % 17 = 0 THEN 0.0D ELSE ({middle} - {spread}) / 100.0D END AS bid",
-        f"CASE WHEN _v % 19 = 0 THEN 0.0D ELSE ({middle} + {spread}) / 100.0D END AS ask",
-        f"CASE WHEN _v % 23 = 0 THEN 0.0D ELSE ({middle} - 1) / 100.0D END AS last",
-        f"{middle} / 100.0D AS mark",
-    ]
+    side = f"greatest(CASE WHEN _call THEN {parity} ELSE -({parity}) END, 0.0D)"
+    return _once(rows, "_middle", f"{side} + ({noise})")
 
 
+_SPREAD = "(5 + 5 * (_v % 4))"
+_PRICES = [
+    f"CASE WHEN _v % 17 = 0 THEN 0.0D ELSE (_middle - {_SPREAD}) / 100.0D END AS bid",
+    f"CASE WHEN _v % 19 = 0 THEN 0.0D ELSE (_middle + {_SPREAD}) / 100.0D END AS ask",
+    "CASE WHEN _v % 23 = 0 THEN 0.0D ELSE (_middle - 1) / 100.0D END AS last",
+    "_middle / 100.0D AS mark",
+]
 _OPTION_TYPE = "CASE WHEN _call THEN 'call' ELSE 'put' END AS option_type"
 _SYMBOL = (
     "concat(ticker, replace(substring(expiry, 3, 8), '-', ''), CASE WHEN _call THEN 'C' ELSE 'P'"
@@ -49,15 +56,20 @@ def quotes_from_events(events: DataFrame, *, daily: bool = False) -> DataFrame:
 
     All belong to one snapshot, or with ``daily`` to one per day of ``ts``.
     """
-    rows = events.selectExpr(
+    rows = _once(events, "_v", "CAST(round(value * 100) AS BIGINT)").selectExpr(
         "event_id AS seq",
         "ts",
-        "CAST(round(value * 100) AS BIGINT) AS _v",
-        "CAST(round(value * 100) AS BIGINT) % 2 = 0 AS _call",
+        "_v",
+        "_v % 2 = 0 AS _call",
         "event_id % 4 AS _e",
         "(event_id * 31 + user_id) % 41 AS _s",
         "user_id % 3 AS _tk",
     )
+    rows = _with_middle(
+        rows,
+        "((500 + 10 * _tk - 25 * _s) * (9800 - 40 * _e))",
+        "2000 + 50 * (40 - abs(_s - 20)) + (_v % 21) - 10",
+    )
     snapshot = "date_trunc('day', ts)" if daily else f"'{EVENT_SNAPSHOT}'"
     quotes = rows.selectExpr(
         "seq",
@@ -66,10 +78,7 @@ def quotes_from_events(events: DataFrame, *, daily: bool = False) -> DataFrame:
         f"{_case('_e', EXPIRIES)} AS expiry",
         "CAST(4000 + 25 * _s AS DOUBLE) AS strike",
         _OPTION_TYPE,
-        *_leg_prices(
-            "((500 + 10 * _tk - 25 * _s) * (9800 - 40 * _e))",
-            "2000 + 50 * (40 - abs(_s - 20)) + (_v % 21) - 10",
-        ),
+        *_PRICES,
         "_v % 200 AS volume",
         "_v % 1000 AS open_interest",
         f"CAST({snapshot} AS TIMESTAMP_NTZ) AS snapshot_time",
@@ -82,7 +91,8 @@ def _lineitem_quotes(
 ) -> DataFrame:
     # The arrival number is equal only for rows with equal quotes: the key of lineitem is
     # not unique in this data, so the price takes part as well.
-    rows = lineitem.selectExpr("*", "CAST(round(l_extendedprice * 100) AS BIGINT) AS _v").selectExpr(
+    priced = _once(lineitem, "_v", "CAST(round(l_extendedprice * 100) AS BIGINT)")
+    rows = priced.selectExpr(
         f"{ticker} AS ticker",
         f"CAST({snapshot} AS TIMESTAMP_NTZ) AS snapshot_time",
         "(l_orderkey * 8 + l_linenumber) * 100000000 + _v AS seq",
@@ -92,6 +102,11 @@ def _lineitem_quotes(
         "CAST(l_quantity AS BIGINT) AS volume",
     )
     middle = strikes // 2
+    rows = _with_middle(
+        rows,
+        f"((500 - 25 * (_s + 20 - {middle})) * 9800)",
+        f"2000 + 50 * (40 - abs(_s - {middle})) + (_v % 21) - 10",
+    )
     expiry = f"date_add(to_date(snapshot_time), {LINEITEM_EXPIRY_DAYS})"
     quotes = rows.selectExpr(
         "ticker",
@@ -100,10 +115,7 @@ def _lineitem_quotes(
         f"date_format({expiry}, 'yyyy-MM-dd') AS expiry",
         f"CAST(4000 + 25 * (_s + 20 - {middle}) AS DOUBLE) AS strike",
         _OPTION_TYPE,
-        *_leg_prices(
-            f"((500 - 25 * (_s + 20 - {middle})) * 9800)",
-            f"2000 + 50 * (40 - abs(_s - {middle})) + (_v % 21) - 10",
-        ),
+        *_PRICES,
         "volume",
         "volume * 10 AS open_interest",
     )
