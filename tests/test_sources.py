@@ -212,7 +212,7 @@ def _chain_document(shift=0.0):
 
 def test_collect_and_prune(spark, tmp_path):
     pages = _pages(spark, _chain_document())
-    params = RateParams(tickers=("AAPL",), max_snapshots_retained=2)
+    params = RateParams(tickers=("AAPL",), max_snapshots_retained=1)
     boxes = collect_snapshot(pages, params, as_of=AT)
     [box] = boxes.collect()
     assert (box.ticker, box.kl, box.ks, box.snapshot_time) == ("AAPL", 4000.0, 4100.0, AT)
@@ -227,10 +227,10 @@ def test_collect_and_prune(spark, tmp_path):
         collect_snapshot(pages, params)
 
     path = str(tmp_path / "table")
-    for day in range(3):
+    for day in range(2):
         run_collection(spark, pages, path, params, as_of=AT + timedelta(days=day))
     stored = snapshots.scan_snapshots(spark, path)
-    assert sorted(r[0].day for r in rows(stored, "snapshot_time")) == [2, 3]
+    assert sorted(r[0].day for r in rows(stored, "snapshot_time")) == [2]
 
 
 def _boxes(spark, *times):

@@ -71,7 +71,7 @@ def test_stream_merge_equals_batch_merge(spark, tmp_path):
     assert earlier == 8
 
 
-@pytest.mark.parametrize("scope, base_every", [("chain", 50), ("expiry", 2), (None, 1)])
+@pytest.mark.parametrize("scope, base_every", [("chain", 50), ("expiry", 2)])
 def test_stream_boxes_equal_batch_boxes(spark, tmp_path, scope, base_every):
     folder = _land(tmp_path / "in", BATCHES)
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
