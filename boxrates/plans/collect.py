@@ -11,6 +11,7 @@ from boxrates.operators.boxes import build_boxes
 from boxrates.operators.normalise import quotes_from_items
 from boxrates.operators.quotes import expiries_per_ticker, parity_spot, quotes_for_expiries
 from boxrates.params import RateParams
+from boxrates.schema import utc
 from boxrates.session import work_dir
 from boxrates.sources.chain_pages import chain_items, underlying_price
 from boxrates.sources.snapshots import prune_snapshots, write_snapshot
@@ -46,7 +47,7 @@ def collect_snapshot(
     if "snapshot_time" not in pages.columns:
         if as_of is None:
             raise ValueError("as_of is needed for pages without snapshot_time")
-        pages = pages.withColumn("snapshot_time", F.lit(as_of).cast("timestamp_ntz"))
+        pages = pages.withColumn("snapshot_time", utc(as_of))
     if params.tickers:
         pages = pages.filter(F.col("ticker").isin(*params.tickers))
 

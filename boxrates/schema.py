@@ -7,7 +7,10 @@ every number, and a forgotten NaN test would let rows through a filter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # One chain: the unit within which strikes are paired.
@@ -71,6 +74,11 @@ BOXES = T.StructType(
 )
 
 
+def utc(time: datetime) -> Column:
+    """Literal of a naive UTC time; as text, for a datetime literal would follow the session zone."""
+    return F.lit(time.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to ``schema`` in its order, adding absent columns as NULL."""
     present = set(df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxrates.schema import BOXES, conform
+from boxrates.schema import BOXES, conform, utc
 
 PARTITIONS = ["snapshot_date", "snapshot_time"]
 
@@ -53,7 +53,7 @@ def recent_snapshots(stored: DataFrame, *, as_of: datetime, minutes: int = 30) -
 
     Both conditions are on the partition column, so only wanted snapshots are read.
     """
-    cutoff = F.lit(as_of - timedelta(minutes=minutes)).cast("timestamp_ntz")
+    cutoff = utc(as_of - timedelta(minutes=minutes))
     time = F.col("snapshot_time")
     latest = stored.agg(F.max("snapshot_time")).scalar()
     return stored.filter((time >= cutoff) | (time == latest))

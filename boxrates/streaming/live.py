@@ -22,7 +22,7 @@ from boxrates.operators.boxes import build_boxes
 from boxrates.operators.quotes import merge_updates, parity_spot, tracked_only
 from boxrates.params import RateParams
 from boxrates.plans.collect import run_collection
-from boxrates.schema import BOXES, CONTRACT, QUOTES, conform
+from boxrates.schema import BOXES, CONTRACT, QUOTES, conform, utc
 from boxrates.session import work_dir
 
 LOGGER = logging.getLogger(__name__)
@@ -164,7 +164,7 @@ def stream_boxes(
         touched = stored.select(*unit).distinct()
         stamp = as_of or datetime.now(UTC).replace(tzinfo=None)
         current = current_quotes(spark, path, upto=batch_id, among=touched).withColumn(
-            "snapshot_time", F.lit(stamp).cast("timestamp_ntz")
+            "snapshot_time", utc(stamp)
         )
         parity = parity_spot(current, parity_scope) if parity_scope else None
         boxes = build_boxes(current, params, feed=feed, parity=parity, unique_contracts=True)

@@ -332,3 +332,19 @@ def test_universe_and_tracked(spark):
     assert rows(q.universe_symbols(quotes)) == [(JANUARY,), (FEBRUARY,)]
     tracked = spark.createDataFrame([("AAPL", "2026-01-18")], "ticker string, expiry string")
     assert q.tracked_only(quotes, tracked).count() == 2
+
+
+def test_snapshot_times_do_not_depend_on_the_session_zone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        pages = _pages(spark, _chain_document())
+        boxes = collect_snapshot(pages, RateParams(tickers=("AAPL",)), as_of=AT)
+        path = str(tmp_path / "t")
+        snapshots.write_snapshot(boxes, path)
+        stored = snapshots.scan_snapshots(spark, path)
+        assert rows(stored, "snapshot_time") == [(AT,)]
+        recent = snapshots.recent_snapshots(stored, as_of=AT + timedelta(minutes=1), minutes=2)
+        assert rows(recent, "snapshot_time") == [(AT,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
