@@ -118,13 +118,13 @@ ORACLES: dict[str, str] = {
     """,
     "op5_segment_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id,
-                   CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+                   CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.q, b.q)]) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
             WHERE a.vec_id % 50 = 0
         ), r AS (
@@ -166,7 +166,8 @@ ORACLES: dict[str, str] = {
             WINDOW before AS (ORDER BY 3.0 * source_size / weight, source IS NULL, source
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), l AS (
-            SELECT min(CAST(total - filled AS DOUBLE) / CAST(free AS DOUBLE)) AS level
+            SELECT arg_min(CAST(total - filled AS DOUBLE) / CAST(free AS DOUBLE),
+                           3.0 * source_size / weight) AS level
             FROM o
             WHERE CAST(total - filled AS DOUBLE) / CAST(free AS DOUBLE) * weight <= 3 * source_size
         ), t AS (
