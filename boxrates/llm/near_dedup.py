@@ -5,8 +5,9 @@
 2. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; two texts
    agree in a sample with a probability equal to their weighted Jaccard similarity. Samples
    are banded.
-3. Texts that share a band are compared with the smallest text of that band; the weighted
-   Jaccard similarity of whole texts decides. Linked texts form classes.
+3. Texts that share a band are compared with the smallest text of that band, the most alike
+   ones first; the weighted Jaccard similarity of whole texts decides. Linked texts form
+   classes, and what is already in one class is not compared again.
 4. Where a band's texts are still of several classes, those outside its largest class are
    compared with all texts of other classes there, so no pair that shares a band and could
    be a link is passed over. Their samples are compared before their texts.
@@ -18,16 +19,15 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import re
-
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxrates.llm.common import stored, text_of
@@ -38,9 +38,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 3
 SAMPLES = BANDS * ROWS
-#: Texts at the similarity agree in 48 of 60 samples on average; fewer than this happen once
-#: in 10^8 such pairs.
-LEAST_AGREED = 27
+#: Texts at the similarity 0.8 agree in 48 of 60 samples on average, and in fewer than these
+#: once in 10^5 pairs.
+LEAST_AGREED = 34
 DF_BITS = 18
 #: Shingles in at most this share of the texts all have the full weight.
 RARE = 0.005
@@ -52,9 +52,9 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 def _chunk(chunk: str) -> bytes:
-    return b"".join(
-        xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in _WORDS.findall(chunk)
-    )
+    if chunk.isalnum():
+        return xxhash.xxh3_64_digest(chunk)
+    return b"".join(xxhash.xxh3_64_digest(w) for w in _WORDS.findall(chunk))
 
 
 def new_memo() -> Remembered:
@@ -97,11 +97,7 @@ def _count_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for text in batch.column("text").to_pylist():
             n += 1
             found = shingles(word_codes(text, memo))[0]
-            counts += np.bincount(
-                np.unique(found >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS
-            ) if len(found) > 5000 else 0
-            if len(found) <= 5000:
-                counts[np.unique(found >> np.uint64(64 - DF_BITS)).astype(np.int64)] += 1
+            counts[np.unique(found >> np.uint64(64 - DF_BITS)).astype(np.int64)] += 1
     if n:
         yield pa.RecordBatch.from_pydict(
             {
@@ -184,7 +180,7 @@ def _variates():
     smallest goes first.
     """
     draw = np.random.default_rng(20)
-    shape = (SAMPLES, 1 << _TABLE_BITS)
+    shape = (1 << _TABLE_BITS, SAMPLES)  # a key's variates lie together
     r = draw.gamma(2.0, 1.0, shape).astype(np.float32)
     c = draw.gamma(2.0, 1.0, shape).astype(np.float32)
     beta = draw.random(shape, dtype=np.float32)
@@ -203,19 +199,19 @@ def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """SAMPLES 32-bit marks; texts agree in one as often as their weighted Jaccard says."""
     r, log_c, beta, full_step, full_value = _variates()
     place = (keys & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
-    values = full_value[:, place]
+    values = full_value.take(place, axis=0)
     other = np.nonzero(weights != 2.0)[0]
     if len(other):
         at = place[other]
-        logs = np.log(weights[other]).astype(np.float32)
-        steps, values[:, other] = _sample_values(r[:, at], log_c[:, at], beta[:, at], logs)
-    best = values.argmin(axis=1)
-    step = full_step[np.arange(SAMPLES), place[best]].astype(np.int64)
+        logs = np.log(weights[other]).astype(np.float32)[:, None]
+        steps, values[other] = _sample_values(r[at], log_c[at], beta[at], logs)
+    best = values.argmin(axis=0)
+    step = full_step[place[best], np.arange(SAMPLES)].astype(np.int64)
     if len(other):
         where = np.searchsorted(other, best)
         where[where == len(other)] = 0
-        own = other[where] == best
-        step[own] = steps[np.nonzero(own)[0], where[own]]
+        own = np.nonzero(other[where] == best)[0]
+        step[own] = steps[where[own], own]
     return (mix(keys[best] + step.astype(np.uint64) * _MULTIPLIER) >> np.uint64(33)).astype(np.int32)
 
 
@@ -315,6 +311,29 @@ def _links(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -
     return stored(both.filter(linked("text_a", "text_b")).select("a", "b"), "linked")
 
 
+def _alike(x: str, y: str, least: float) -> Column:
+    """Whether the totals and samples of two rows leave the similarity possible."""
+    near = F.least(f"{x}.total", f"{y}.total") >= least * F.greatest(f"{x}.total", f"{y}.total")
+    return near & (_agreed(x, y) >= LEAST_AGREED)
+
+
+def _agreed(x: str, y: str) -> Column:
+    same = F.zip_with(f"{x}.marks", f"{y}.marks", lambda a, b: (a == b).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda n, e: n + e)
+
+
+def _stars(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Each text with the smallest one of each of its bands, where they are alike."""
+    pairs = spots.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    x = nodes.select(F.col("node").alias("a"), "total", "marks").alias("x")
+    y = nodes.select(F.col("node").alias("b"), "total", "marks").alias("y")
+    known = pairs.join(y, "b").select("a", "b", F.struct("total", "marks").alias("y"))
+    return stored(
+        known.join(x, "a").filter(_alike("x", "y", least)).select("a", "b", _agreed("x", "y").alias("agreed")),
+        "stars",
+    )
+
+
 def _classes(spots: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).select("node", F.col("root").alias("class"))
     return stored(
@@ -322,6 +341,15 @@ def _classes(spots: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _of_two_classes(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends the links don't connect."""
+    roots = stored(components(links), "roots")
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b")
+
+
 def _rest(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Pairs of different classes in one band that may yet be links.
 
@@ -338,24 +366,11 @@ def _rest(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     mixed = stored(
         spots.join(bands, "band").join(nodes.select("node", "total", "marks"), "node"), "mixed"
     )
-    minor = mixed.filter(F.col("class") != F.col("top")).drop("top")
-    x, y = minor.alias("x"), mixed.alias("y")
+    x, y = mixed.filter(F.col("class") != F.col("top")).alias("x"), mixed.alias("y")
     # A pair of two rows outside the largest class is taken once.
     once = (F.col("y.class") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    agreed = F.aggregate(
-        F.zip_with("x.marks", "y.marks", lambda a, b: (a == b).cast("int")),
-        F.lit(0),
-        lambda n, e: n + e,
-    )
-    near = F.least("x.total", "y.total") >= least * F.greatest("x.total", "y.total")
-    joined = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.class") != F.col("y.class"))
-        & once
-        & near
-        & (agreed >= LEAST_AGREED),
-    )
+    apart = F.col("x.class") != F.col("y.class")
+    joined = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & once & _alike("x", "y", least))
     return joined.select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     ).distinct()
@@ -397,11 +412,15 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     texts = rows.select("text", "text_hash").join(involved.hint("shuffle_hash"), "text_hash")
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    star = spots.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    links = _links(star, texts, weights, similarity)
+    # The most alike first, then the others that this leaves apart, then the rest.
+    stars = _stars(spots, nodes, similarity)
+    first = stars.groupBy("b").agg(F.max_by("a", F.struct("agreed", "a")).alias("a"))
+    links = _links(first.select("a", "b"), texts, weights, similarity)
+    second = _of_two_classes(stars.join(first, ["a", "b"], "left_anti"), links)
+    links = links.unionByName(_links(second, texts, weights, similarity))
     spots = _classes(spots.drop("a"), links)
-    more = _links(_rest(spots, nodes, similarity), texts, weights, similarity)
-    roots = components(links.unionByName(more))
+    links = links.unionByName(_links(_rest(spots, nodes, similarity), texts, weights, similarity))
+    roots = components(links)
 
     of_node = signed.select("node", "doc_id", "text_hash").join(roots, "node", "left")
     of_node = of_node.withColumn("root", F.coalesce("root", "node")).drop("node")
