@@ -56,11 +56,11 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 class Params:
     max_rows: int = 12_000
     """Bound of the labelled rows read by the fit (an even sample by hash beyond it)."""
-    max_features: int = 6_000
+    max_features: int = 1_000
     min_rows: int = 4
     """A feature must occur in so many sampled texts."""
-    prefixes: tuple[int, ...] = (4, 5, 6)
-    l2: float = 2e-6
+    prefixes: tuple[int, ...] = (4, 5, 6, 7)
+    l2: float = 2e-7
     swap_penalty: float = 1.0
     steps: int = 400
     rate: float = 0.1
@@ -203,14 +203,20 @@ class _Rows:
 def optimise(
     texts: _Rows, toxic: np.ndarray, swaps: _Rows, width: int, params: Params
 ) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss, the mean squared score change of swaps, and L2."""
+    """Adam on the mean log loss, the mean squared score change of swaps, and L2.
+
+    L2 is divided by a feature's share of the texts, so that a few copies of one text
+    don't make its words telling.
+    """
     w = np.zeros(width + 1)  # the last is the bias
+    share = np.maximum(np.bincount(texts.column, minlength=width), 1) / max(texts.n, 1)
+    l2 = params.l2 / share
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, params.steps + 1):
         score = 1 / (1 + np.exp(-np.clip(texts.times(w[:-1]) + w[-1], -30, 30)))
         error = (score - toxic) / max(texts.n, 1)
         grad = np.append(texts.back(error, width), error.sum())
-        grad[:-1] += 2 * params.l2 * w[:-1]
+        grad[:-1] += 2 * l2 * w[:-1]
         if swaps.n:
             change = swaps.times(w[:-1])
             grad[:-1] += swaps.back(2 * params.swap_penalty * change / swaps.n, width)
