@@ -256,11 +256,13 @@ def write_archives(
         F.min("page_id").alias("first"), F.count("*").alias("copies")
     )
     shared = first.filter("copies > 1").drop("copies")
-    revisits = (
+    # Stored, so that Spark knows its size: where few pages revisit, pages stay where they are.
+    revisits = stored(
         keyed.join(shared, ["digest", "n"])
         .filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
         .groupBy(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"))
-        .agg(F.min("first").alias("refers_to"))
+        .agg(F.min("first").alias("refers_to")),
+        "revisits",
     )
     whole = pages.select(
         "page_id",
