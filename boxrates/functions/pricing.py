@@ -36,9 +36,13 @@ def parity_mid(bid: Column, ask: Column, mark: Column, last: Column) -> Column:
 
 
 def expiry_time(expiry: Column) -> Column:
-    """Expiry text to a UTC time. A written offset is dropped, not converted."""
+    """Expiry text, which must hold a whole date, to a UTC time.
+
+    A written offset is dropped, not converted.
+    """
+    whole = F.when(expiry.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), expiry)
     compact = F.when(expiry.rlike(r"^\d{8}$"), F.try_to_date(expiry, "yyyyMMdd"))
-    return F.coalesce(expiry.try_cast("timestamp_ntz"), compact.cast("timestamp_ntz"))
+    return F.coalesce(whole.try_cast("timestamp_ntz"), compact.cast("timestamp_ntz"))
 
 
 def years_to_expiry(expiry_at: Column, snapshot_time: Column) -> Column:

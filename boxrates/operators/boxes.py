@@ -91,7 +91,9 @@ def box_leg_volumes(boxes: DataFrame) -> DataFrame:
         "*",
         *legs,
         f"least({', '.join(volumes)}) AS min_leg_volume",
-        f"{' + '.join(volumes)} AS total_leg_volume",
+        # NULL if the sum does not fit.
+        f"try_add(try_add({volumes[0]}, {volumes[1]}), try_add({volumes[2]}, {volumes[3]}))"
+        " AS total_leg_volume",
     )
 
 

@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bound on how many groups are singled out, hence on the broadcast of their list.
-# A group beyond the bound is smaller than each of these, so it holds less than one
-# ten-thousandth of the rows: an ordinary group, handled by the ordinary path.
-MAX_HOT_GROUPS = 10_000
-
-
 def heaviest(groups: DataFrame, keys: Sequence[str], size: str, above: int) -> DataFrame:
-    """Groups with ``size > above``, at most ``MAX_HOT_GROUPS`` of them: safe to broadcast.
+    """Groups with ``size > above``, however many; their list is broadcast only if Spark
+    measures it as small.
 
-    The order is total, so recomputing it gives the same groups. Callers must be
-    exact for any choice of groups; being listed only changes how work is split.
+    Callers must be exact for any choice of groups; being listed only changes how work is
+    split.
     """
-    order: list[Column] = [F.col(size).desc(), *[F.col(key).asc() for key in keys]]
-    return groups.filter(F.col(size) > above).orderBy(*order).limit(MAX_HOT_GROUPS)
+    return groups.filter(F.col(size) > above).select(*keys, size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxrates.operators.hot import heaviest
@@ -23,6 +23,12 @@ def _bucket_width(max_gap: float | None) -> float | None:
     return max_gap * 1.001 if max_gap > 0 else 1.0
 
 
+def _bucket(ratio: Column) -> Column:
+    """Floor as a double; numbers from 2^52 on are whole already and don't fit a bigint."""
+    small = F.abs(ratio) < float(1 << 52)
+    return F.when(small, F.floor(ratio).cast("double")).otherwise(ratio)
+
+
 def strike_pairs(
     strikes: DataFrame,
     keys: Sequence[str] = tuple(CHAIN),
@@ -44,8 +50,8 @@ def strike_pairs(
     that together hold each pair exactly once; no task meets a whole heavy chain.
     """
     width = _bucket_width(max_gap)
-    zero = F.lit(0).cast("bigint")
-    bucket = zero if width is None else F.coalesce(F.floor(F.col("strike") / width), zero)
+    zero = F.lit(0.0)
+    bucket = zero if width is None else F.coalesce(_bucket(F.col("strike") / width), zero)
     legs = [c for c in strikes.columns if c not in keys and c not in shared]
     group = [*keys, "_bucket"]
     slot = F.when(F.col("strike").isNotNull(), F.xxhash64(*legs, *shared))
@@ -57,7 +63,8 @@ def strike_pairs(
     rows = rows.filter(" AND ".join(f"{column} IS NOT NULL" for column in [*keys, "strike"]))
 
     upper = lower = rows
-    near = F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1))
+    # For very large strikes the next bucket is the same one, which is visited once.
+    near = F.explode(F.array_distinct(F.array(F.col("_bucket"), F.col("_bucket") + 1)))
     if width is not None:
         lower = rows.withColumn("_bucket", near)
 
@@ -67,7 +74,7 @@ def strike_pairs(
         # A bucket also meets the lower strikes of the bucket below; these are few rows.
         hot = hot.withColumn("_bucket", near).groupBy(*group).agg(F.sum("_size").alias("_size"))
     side = F.ceil(2 * F.col("_size") / cell_rows).cast("int")
-    hot = F.broadcast(hot.select(*group, side.alias("_side")))
+    hot = hot.select(*group, side.alias("_side"))
 
     def into_cells(side: DataFrame, own: str, other: str) -> DataFrame:
         cut = side.join(hot, group, "left").withColumn("_side", F.coalesce("_side", F.lit(1)))

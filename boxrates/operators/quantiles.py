@@ -42,7 +42,7 @@ def group_quantiles(
     marks = [min(max(p + s, 0.0), 1.0) for p in points for s in (-slack, slack)]
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(heaviest(sizes, keys, "n", direct_rows).select(*keys))
+    hot = heaviest(sizes, keys, "n", direct_rows).select(*keys)
     brackets = (
         df.join(hot, list(keys), "left_semi")
         .groupBy(*keys)
@@ -64,7 +64,7 @@ def group_quantiles(
 
     counted = (
         df.select(*keys, value)
-        .join(F.broadcast(brackets), list(keys), "left")
+        .join(brackets, list(keys), "left")
         .withColumn("_value", folded)
         .groupBy(*keys, "_value")
         .agg(F.count(F.lit(1)).alias("_count"), F.sum(value).alias("_sum"))

@@ -84,30 +84,31 @@ def rate_heatmap(
     boxes: DataFrame,
     expiry: str | None = None,
     *,
-    cells: int = HEATMAP_CELLS,
+    cells: int | None = None,
     seed: int = HEATMAP_SEED,
 ) -> DataFrame:
     """Strike-pair heatmap in long form: ``kl, ks, rate_pct``.
 
+    All cells, unless ``cells`` asks for a seeded sample of that many.
+
     Empty unless there are two lower and two upper strikes at least, like a drawing
     with a single row or column, which has nothing to compare.
     """
-    shown = heatmap_sample(heatmap_cells(boxes, expiry), cells, seed)
-    # The unpartitioned window is over the chosen cells, at most ``cells`` rows.
-    everything = Window.partitionBy(F.lit(1))
-    axes = shown.withColumns(
-        {
-            "_lows": F.size(F.collect_set("kl").over(everything)),
-            "_highs": F.size(F.collect_set("ks").over(everything)),
-        }
-    )
-    drawn = axes.filter((F.col("_lows") >= 2) & (F.col("_highs") >= 2))
+    shown = heatmap_cells(boxes, expiry)
+    if cells is not None:
+        shown = heatmap_sample(shown, cells, seed)
+    two_of_each = (F.min("kl") < F.max("kl")) & (F.min("ks") < F.max("ks"))
+    drawn = shown.filter(shown.agg(two_of_each).scalar())
     return drawn.select("kl", "ks", percent(F.col("rate")).alias("rate_pct")).orderBy("kl", "ks")
 
 
-def heatmap_matrix(heatmap: DataFrame) -> DataFrame:
-    """Wide form of a heatmap: one row per upper strike, one column per lower strike."""
-    return heatmap.groupBy("ks").pivot("kl").agg(F.first("rate_pct")).orderBy("ks")
+def heatmap_matrix(heatmap: DataFrame, lows: Sequence[float] | None = None) -> DataFrame:
+    """Wide form of a heatmap: one row per upper strike, one column per lower strike.
+
+    Name the lower strikes in ``lows`` to spare Spark looking for them first.
+    """
+    wide = heatmap.groupBy("ks").pivot("kl", None if lows is None else list(lows))
+    return wide.agg(F.first("rate_pct")).orderBy("ks")
 
 
 def lend_borrow(boxes: DataFrame, expiry: str | None = None) -> DataFrame:

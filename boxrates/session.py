@@ -33,11 +33,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path for intermediate tables and stream checkpoints.
 
-    It lies in the shared folder the cluster names; only when none is named (a
-    single-machine session) is a temporary folder made and recorded in the session.
+    It lies in the shared folder the cluster names. Only for a local master, where none is
+    named, is a temporary folder made and recorded in the session.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="boxrates-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ _LISTS = ", ".join(f"{name} array<variant>" for name in ITEM_LISTS)
 _PAYLOAD = f"snapshots map<string,variant>, {_LISTS}"
 _PAGE = f"{_PAYLOAD}, data string"
 
-# Positions of items within a page; a page holds far fewer.
+# Positions of items within a page; a page with more is refused.
 PAGE_STRIDE = 1 << 20
 
 
@@ -93,7 +93,9 @@ def chain_items(pages: DataFrame) -> DataFrame:
     )
     carried = [c for c in pages.columns if c != "document"]
     items = parsed.select(*carried, F.posexplode(entries).alias("_position", "_entry"))
-    seq = F.col("page_no") * PAGE_STRIDE + F.col("_position")
+    too_many = F.raise_error(F.lit(f"a page holds more than {PAGE_STRIDE} items"))
+    place = F.when(F.col("_position") < PAGE_STRIDE, F.col("_position")).otherwise(too_many)
+    seq = F.col("page_no") * PAGE_STRIDE + place
     return items.select(
         *carried, seq.alias("seq"), F.col("_entry.default_symbol"), F.col("_entry.item")
     ).filter(is_object(F.col("item")))

@@ -226,3 +226,21 @@ def test_wide_rows(spark):
     assert box_records(box_from_legs(wide, F.lit(0.5))).columns == [
         "ticker", "expiry", "kl", "ks", "net_cost", "implied_rate", "lend_borrow"
     ]
+
+
+def test_dirty_rows_cost_no_other_chain(spark):
+    def chain(strike_a, strike_b, expiry="2026-07-02", volume=1):
+        return [quote("SPX", expiry, strike_a, "call", 110.0, 110.4, 0, 0, volume, 1),
+                quote("SPX", expiry, strike_a, "put", 60.0, 60.4, 0, 0, volume, 1),
+                quote("SPX", expiry, strike_b, "call", 50.0, 50.4, 0, 0, volume, 1),
+                quote("SPX", expiry, strike_b, "put", 97.6, 98.0, 0, 0, volume, 1)]
+
+    good = chain(4000, 4100)
+    params = RateParams(min_strike_gap=5.0, max_strike_gap=400.0, max_abs_rate=1.0)
+    expected = rows(build_boxes(quotes(spark, good), params))
+    dirty = [*chain(1e30, 2e30), *chain(float("inf"), -1e300), *chain(4000, 4100, "2024"),
+             *chain(4000, 4100, "2026-09")]
+    found = rows(build_boxes(quotes(spark, good + dirty), params).filter("kl < 1e9"))
+    assert found == expected and len(found) == 1
+    loud = build_boxes(quotes(spark, chain(4000, 4100, volume=4 * 10**18)), params).first()
+    assert loud.total_leg_volume is None and loud.min_leg_volume == 4 * 10**18

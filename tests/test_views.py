@@ -144,3 +144,14 @@ def test_view_filter_ignores_absent_columns(boxes):
 def test_view_expiries(boxes):
     assert rows(views.view_expiries(boxes, "SPX")) == [("SPX", "2026-01-01")]
     assert rows(views.view_expiries(boxes, "VIX")) == []
+
+
+def test_heatmap_is_complete_unless_asked(spark):
+    many = spark.range(5000).select(
+        F.lit("2026-01-01").alias("expiry"), F.col("id").cast("double").alias("kl"),
+        (F.col("id") + 5).cast("double").alias("ks"), F.lit(0.1).alias("mid_rate"),
+    )
+    assert views.rate_heatmap(many).count() == 5000
+    assert views.rate_heatmap(many, cells=2000).count() == 2000
+    matrix = views.heatmap_matrix(views.rate_heatmap(many.limit(3)), [0.0, 1.0])
+    assert matrix.columns == ["ks", "0.0", "1.0"]
