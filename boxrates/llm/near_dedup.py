@@ -42,6 +42,9 @@ SAMPLES = 192
 #: Texts at the similarity 0.8 agree in 156 of 192 on average, and in fewer than these once in
 #: 10^5 pairs.
 LEAST_AGREED = 132
+PLANES = 4
+#: Bytes of vectors that a verifying task keeps at hand.
+KEPT_BYTES = 48 << 20
 DF_BITS = 18
 #: Shingles in at most this share of the texts all have the full weight.
 RARE = 0.005
@@ -223,11 +226,10 @@ def _bands(marks: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _nibbles(marks: np.ndarray) -> np.ndarray:
-    """Four bits of each mark, sixteen marks to a number."""
-    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    parts = (marks & 15).astype(np.uint64).reshape(-1, 16) << shifts
-    return np.bitwise_or.reduce(parts, axis=1).view(np.int64)
+def _planes(marks: np.ndarray) -> np.ndarray:
+    """The lowest four bits of the marks, in bit planes: all lowest bits first, 64 to a number."""
+    planes = (marks[None, :] >> np.arange(PLANES)[:, None]) & 1
+    return np.packbits(planes.astype(np.uint8), axis=1).view(np.int64).ravel()
 
 
 SIGNED = (
@@ -247,7 +249,7 @@ def _sign(weights: Weights):
                 own = weights.of(keys, times)
                 totals.append(float(own.sum()))
                 drawn = samples(keys, own) if len(keys) else None
-                marks.append(None if drawn is None else _nibbles(drawn))
+                marks.append(None if drawn is None else _planes(drawn))
                 bands.append([] if drawn is None else _bands(drawn))
             yield pa.RecordBatch.from_pydict(
                 {
@@ -281,18 +283,30 @@ def similarity(a, b) -> float:
     return float(low / (w_a.sum() + w_b.sum() - low))
 
 
+class _Vectors(dict):
+    """Weighted shingles by text; all are forgotten when they outgrow ``KEPT_BYTES``."""
+
+    def __init__(self, weights: Weights):
+        super().__init__()
+        self.weights, self.memo, self.held = weights, new_memo(), 0
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        keys, times = shingles(word_codes(text, self.memo))
+        vector = keys, self.weights.of(keys, times)
+        self.held += 4 * len(text) + 16 * len(keys) + 400
+        if self.held > KEPT_BYTES:
+            self.clear()
+            self.held = 4 * len(text) + 16 * len(keys) + 400
+        self[text] = vector
+        return vector
+
+
 def _verify(weights: Weights, least: float):
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        memo = new_memo()
-
-        @functools.lru_cache(8)
-        def vector(text: str):
-            keys, times = shingles(word_codes(text, memo))
-            return keys, weights.of(keys, times)
-
+        vector = _Vectors(weights)
         for left, right in batches:
-            found = [similarity(vector(a), vector(b)) >= least for a, b in zip(left, right, strict=True)]
+            found = [similarity(vector[a], vector[b]) >= least for a, b in zip(left, right, strict=True)]
             yield pd.Series(found, dtype=bool)
 
     return linked
@@ -326,14 +340,19 @@ def _alike(x: str, y: str, least: float) -> Column:
 
 
 def _agreed(x: str, y: str) -> Column:
-    """In how many samples the marks of two rows agree."""
-    differ = F.lit(0)
-    for i in range(SAMPLES // 16):
-        bits = F.col(f"{x}.marks")[i].bitwiseXOR(F.col(f"{y}.marks")[i])
-        pairs = bits.bitwiseOR(F.shiftright(bits, 1))
-        any_bit = pairs.bitwiseOR(F.shiftright(pairs, 2))
-        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(SAMPLES) - differ
+    """In how many samples the marks of two rows agree.
+
+    Each column is named once, as a large condition would not be compiled in a join.
+    """
+    words = SAMPLES // 64
+    agreed = F.lit(SAMPLES)
+    for word in range(words):
+        differ = [
+            F.col(f"{x}.marks")[i].bitwiseXOR(F.col(f"{y}.marks")[i])
+            for i in range(word, PLANES * words, words)
+        ]
+        agreed = agreed - F.bit_count(functools.reduce(Column.bitwiseOR, differ))
+    return agreed
 
 
 def _stars(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
