@@ -5,9 +5,9 @@
 2. Improved consistent weighted sampling draws ``SAMPLES`` samples per text; two texts agree
    in a sample with a probability equal to their weighted Jaccard similarity. The first
    ``BANDS * ROWS`` are banded.
-3. Texts that share a band are compared with the smallest text of that band, the most alike
-   ones first; the weighted Jaccard similarity of whole texts decides. Linked texts form
-   classes, and what is already in one class is not compared again.
+3. Texts that share a band are compared with the hub of that band, the text that has most
+   others in its bands; the weighted Jaccard similarity of whole texts decides. Linked texts
+   form classes, and what is already in one class is not compared again.
 4. Where a band's texts are still of several classes, those outside its largest class are
    compared with all texts of other classes there, so no pair that shares a band and could
    be a link is passed over. Their samples are compared before their texts.
@@ -356,31 +356,46 @@ def _agreed(x: str, y: str) -> Column:
 
 
 def _stars(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Each text with the smallest one of each of its bands, where they are alike."""
+    """Each text with the hub of each of its bands, where they are alike."""
     pairs = spots.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     x = nodes.select(F.col("node").alias("a"), "total", "marks").alias("x")
     y = nodes.select(F.col("node").alias("b"), "total", "marks").alias("y")
     known = pairs.join(y, "b").select("a", "b", F.struct("total", "marks").alias("y"))
     return stored(
-        known.join(x, "a").filter(_alike("x", "y", least)).select("a", "b", _agreed("x", "y").alias("agreed")),
-        "stars",
+        known.join(x, "a").filter(_alike("x", "y", least)).select("a", "b"), "stars"
     )
 
 
-def _classes(spots: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links).select("node", F.col("root").alias("class"))
+def _classes(spots: DataFrame, roots: DataFrame) -> DataFrame:
+    known = roots.select("node", F.col("root").alias("class"))
     return stored(
-        spots.join(roots, "node", "left").withColumn("class", F.coalesce("class", "node")), "classes"
+        spots.join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "classes"
     )
 
 
-def _of_two_classes(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose ends the links don't connect."""
-    roots = stored(components(links), "roots")
+def _joined_classes(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, last``: classes that further links join, and the root of what they form."""
     for end in ("a", "b"):
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b")
+        links = links.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    return joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+
+
+def _shared_bands(nodes: DataFrame) -> DataFrame:
+    """``node, band, a`` of bands with several nodes; ``a`` is the hub of the band.
+
+    The hub is the node that has most others in its bands: of a text and its edited copies
+    that is the text they were made from, or the least edited, which most are similar to.
+    """
+    counts = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    spots = nodes.select("node", F.explode("bands").alias("band"))
+    spots = stored(spots.join(counts.filter("n > 1"), "band"), "shared")
+    degrees = spots.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = spots.join(degrees, "node").groupBy("band").agg(
+        F.max(F.struct("degree", "node"))["node"].alias("a")
+    )
+    return stored(spots.drop("n").join(hubs, "band"), "spots")
 
 
 def _rest(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -439,27 +454,21 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
         F.min("text_hash").alias("text_hash"),
     )
     nodes = stored(nodes, "nodes")
-    spots = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = spots.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    shared = hubs.filter("n > 1").drop("n")
-    spots = stored(spots.join(shared, "band"), "spots")
+    spots = _shared_bands(nodes)
     # Whole texts of all nodes that share a band with another, each once.
     involved = spots.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
     texts = rows.select("text", "text_hash").join(involved.hint("shuffle_hash"), "text_hash")
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    # The most alike first, then the others that this leaves apart, then the rest.
-    stars = _stars(spots, nodes, similarity)
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("agreed", "a")).alias("a"))
-    links = _links(first.select("a", "b"), texts, weights, similarity)
-    second = _of_two_classes(stars.join(first, ["a", "b"], "left_anti"), links)
-    links = links.unionByName(_links(second, texts, weights, similarity))
-    spots = _classes(spots.drop("a"), links)
-    links = links.unionByName(_links(_rest(spots, nodes, similarity), texts, weights, similarity))
-    roots = components(links)
+    links = _links(_stars(spots, nodes, similarity), texts, weights, similarity)
+    roots = stored(components(links), "components")
+    spots = _classes(spots.drop("a"), roots)
+    rest = _links(_rest(spots, nodes, similarity), texts, weights, similarity)
+    last = stored(_joined_classes(rest, roots), "components")
 
     of_node = signed.select("node", "doc_id", "text_hash").join(roots, "node", "left")
     of_node = of_node.withColumn("root", F.coalesce("root", "node")).drop("node")
+    of_node = of_node.join(last, "root", "left").withColumn("root", F.coalesce("last", "root")).drop("last")
     of_node = stored(of_node, "roots")
     classes = of_node.groupBy("root").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
