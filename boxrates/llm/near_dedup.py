@@ -342,7 +342,7 @@ def _alike(x: str, y: str, least: float) -> Column:
 def _agreed(x: str, y: str) -> Column:
     """In how many samples the marks of two rows agree.
 
-    Each column is named once, as a large condition would not be compiled in a join.
+    Each number is read once, as a join's condition is not freed of repeated expressions.
     """
     words = SAMPLES // 64
     agreed = F.lit(SAMPLES)
