@@ -10,7 +10,8 @@
    form classes, and what is already in one class is not compared again.
 4. Where a band's texts are still of several classes, those outside its largest class are
    compared with all texts of other classes there, so no pair that shares a band and could
-   be a link is passed over. Their samples are compared before their texts.
+   be a link is passed over. Before their texts, their samples are compared, and the weights
+   of the shingles that each of them shares with no other such text.
 
 Texts with the same words are one node throughout, so copies are never paired.
 """
@@ -43,6 +44,10 @@ SAMPLES = 192
 #: 10^5 pairs.
 LEAST_AGREED = 132
 PLANES = 4
+#: What rounding may take from a bound on the similarity.
+ROUNDING = 1e-6
+#: Shingles in one batch of ``_own_weights``, at least; a text's stay together.
+PER_BATCH = 1 << 16
 #: Bytes of vectors that a verifying task keeps at hand.
 KEPT_BYTES = 48 << 20
 DF_BITS = 18
@@ -398,11 +403,67 @@ def _shared_bands(nodes: DataFrame) -> DataFrame:
     return stored(spots.drop("n").join(hubs, "band"), "spots")
 
 
-def _rest(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _weighted_shingles(weights: Weights):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = new_memo()
+        for batch in batches:
+            ids, keys, own, held = [], [], [], 0
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found, times = shingles(word_codes(text, memo))
+                ids.append(np.full(len(found), i, np.int64))
+                keys.append(found.view(np.int64))
+                own.append(weights.of(found, times))
+                held += len(found)
+                if held >= PER_BATCH:
+                    yield _batch_of(ids, keys, own)
+                    ids, keys, own, held = [], [], [], 0
+            if held:
+                yield _batch_of(ids, keys, own)
+
+    return explode
+
+
+def _batch_of(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    arrays = [pa.array(np.concatenate(c)) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "shingle", "weight"])
+
+
+def _own_weights(members: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """``id, own``: the weight of a node's shingles that no other of ``members`` has.
+
+    ``id`` is the hash of a node; nodes without such shingles are left out.
+    """
+    rows = members.select("node").distinct().join(texts, "node").select(F.xxhash64("node").alias("id"), "text")
+    each = rows.mapInArrow(_weighted_shingles(weights), "id bigint, shingle bigint, weight double")
+    # With one row per shingle, the first id and weight are of that row.
+    single = (
+        each.groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("weight").alias("weight"))
+        .filter("n = 1")
+    )
+    return stored(single.groupBy("id").agg(F.sum("weight").alias("own")), "own")
+
+
+def _not_too_different(x: str, y: str, least: float) -> Column:
+    """Whether the weights that two rows can't share leave the similarity possible.
+
+    At most the rest of either can be shared, and all of one and the own part of the other
+    are in their union.
+    """
+    shared = F.least(f"{x}.rest", f"{y}.rest")
+    union = F.greatest(
+        F.col(f"{x}.total") + F.col(f"{y}.total") - F.col(f"{y}.rest"),
+        F.col(f"{x}.total") + F.col(f"{y}.total") - F.col(f"{x}.rest"),
+    )
+    return shared >= (least - ROUNDING) * union
+
+
+def _rest(spots: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
     """Pairs of different classes in one band that may yet be links.
 
     Only bands with several classes are looked at; a row of the band's largest class is
-    never compared with another of it.
+    never compared with another of it. A row that shares too little of its weight with all
+    others is compared with none.
     """
     counts = spots.groupBy("band", "class").agg(F.count("*").alias("n"))
     bands = (
@@ -411,9 +472,12 @@ def _rest(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         .filter("n_classes > 1")
         .drop("n_classes")
     )
-    mixed = stored(
-        spots.join(bands, "band").join(nodes.select("node", "total", "marks", "bands"), "node"), "mixed"
-    )
+    members = stored(spots.join(bands, "band"), "members")
+    own = _own_weights(members, texts, weights)
+    known = nodes.select("node", "total", "marks", "bands").withColumn("id", F.xxhash64("node"))
+    known = members.join(known, "node").join(own, "id", "left").drop("id")
+    known = known.withColumn("rest", F.col("total") - F.coalesce("own", F.lit(0.0))).drop("own")
+    mixed = stored(known.filter(F.col("rest") >= (least - ROUNDING) * F.col("total")), "mixed")
     x, y = mixed.filter(F.col("class") != F.col("top")).alias("x"), mixed.alias("y")
     # A pair of two rows outside the largest class is taken once.
     once = (F.col("y.class") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
@@ -421,7 +485,8 @@ def _rest(spots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     # A pair that shares several bands is taken in the smallest of them.
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
     same = F.col("x.band") == F.col("y.band")
-    joined = x.join(y, same & apart & once & _alike("x", "y", least) & first)
+    possible = _not_too_different("x", "y", least) & _alike("x", "y", least)
+    joined = x.join(y, same & apart & once & possible & first)
     return joined.select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     ).distinct()
@@ -463,7 +528,7 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     links = _links(_stars(spots, nodes, similarity), texts, weights, similarity)
     roots = stored(components(links), "components")
     spots = _classes(spots.drop("a"), roots)
-    rest = _links(_rest(spots, nodes, similarity), texts, weights, similarity)
+    rest = _links(_rest(spots, nodes, texts, weights, similarity), texts, weights, similarity)
     last = stored(_joined_classes(rest, roots), "components")
 
     of_node = signed.select("node", "doc_id", "text_hash").join(roots, "node", "left")

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from boxrates.llm import near_dedup as N
 from boxrates.llm.components import components
@@ -116,6 +117,18 @@ def test_samples_agree_as_often_as_the_similarity_says():
     assert abs(np.mean(agreed) - np.mean(expected)) < 0.03
 
 
+def test_own_weights_are_of_shingles_no_other_text_has(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = [*words[:20], "x", *words[21:]]
+    texts = {b"a": words, b"b": edited, b"c": words[:39], b"d": []}
+    rows = [(node, " ".join(text)) for node, text in texts.items()]
+    members = spark.createDataFrame([(n,) for n, _ in rows] * 2, "node binary")
+    got = N._own_weights(members, spark.createDataFrame(rows, "node binary, text string"), Weights({}))
+    ids = {r.id: bytes(r.node) for r in members.select("node", F.xxhash64("node").alias("id")).collect()}
+    # Only b has the five shingles with x, only a and b end in w39.
+    assert {ids[r.id]: r.own for r in got.collect()} == {b"b": 10.0}
+
+
 def test_frequencies_count_all_documents(spark):
     rows = [(i, f"the same words everywhere here and more of u{i} v{i} x{i} y{i} z{i}") for i in range(400)]
     weights = frequencies(docs(spark, rows).repartition(7))
