@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,6 +43,10 @@ SAMPLES = 192
 #: 10^5 pairs.
 LEAST_AGREED = 132
 PLANES = 4
+#: Shingles of a text that are sampled at a time.
+BLOCK = 4096
+#: Words whose codes a task remembers.
+WORDS_KEPT = 100_000
 #: What rounding may take from a bound on the similarity.
 ROUNDING = 1e-6
 #: Shingles in one batch of ``_own_weights``, at least; a text's stay together.
@@ -67,7 +70,7 @@ def _chunk(chunk: str) -> bytes:
 
 
 def new_memo() -> Remembered:
-    return Remembered(_chunk)
+    return Remembered(_chunk, WORDS_KEPT)
 
 
 def word_codes(text: str, memo: Remembered) -> np.ndarray:
@@ -75,6 +78,13 @@ def word_codes(text: str, memo: Remembered) -> np.ndarray:
     return np.frombuffer(b"".join(map(memo.__getitem__, text.lower().split())), dtype=np.uint64)
 
 
+def _texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
+    """The texts of a batch; few of them are strings at a time."""
+    column = batch.column(column)
+    for start in range(0, len(column), 64):
+        yield from column.slice(start, 64).to_pylist()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MULTIPLIER
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,7 +113,7 @@ def _count_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     """Hashed document counters of a partition, in slices."""
     memo, counts, n = new_memo(), np.zeros(1 << DF_BITS, np.int64), 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
+        for text in _texts(batch):
             n += 1
             found = shingles(word_codes(text, memo))[0]
             counts[np.unique(found >> np.uint64(64 - DF_BITS)).astype(np.int64)] += 1
@@ -205,7 +215,20 @@ def _sample_values(r, log_c, beta, log_weight):
 
 
 def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """SAMPLES 32-bit marks; texts agree in one as often as their weighted Jaccard says."""
+    """SAMPLES 32-bit marks; texts agree in one as often as their weighted Jaccard says.
+
+    Keys are taken in blocks, so that memory does not grow with the text.
+    """
+    low, marks = _samples_of_block(keys[:BLOCK], weights[:BLOCK])
+    for start in range(BLOCK, len(keys), BLOCK):
+        values, others = _samples_of_block(keys[start : start + BLOCK], weights[start : start + BLOCK])
+        marks = np.where(values < low, others, marks)
+        low = np.minimum(values, low)
+    return marks
+
+
+def _samples_of_block(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least sampling value and mark of each sample."""
     r, log_c, beta, full_step, full_value = _variates()
     place = (keys & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
     values = full_value.take(place, axis=0)
@@ -215,13 +238,15 @@ def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
         logs = np.log(weights[other]).astype(np.float32)[:, None]
         steps, values[other] = _sample_values(r[at], log_c[at], beta[at], logs)
     best = values.argmin(axis=0)
-    step = full_step[place[best], np.arange(SAMPLES)].astype(np.int64)
+    every = np.arange(SAMPLES)
+    step = full_step[place[best], every].astype(np.int64)
     if len(other):
         where = np.searchsorted(other, best)
         where[where == len(other)] = 0
         own = np.nonzero(other[where] == best)[0]
         step[own] = steps[where[own], own]
-    return (mix(keys[best] + step.astype(np.uint64) * _MULTIPLIER) >> np.uint64(33)).astype(np.int32)
+    marks = (mix(keys[best] + step.astype(np.uint64) * _MULTIPLIER) >> np.uint64(33)).astype(np.int32)
+    return values[best, every], marks
 
 
 def _bands(marks: np.ndarray) -> np.ndarray:
@@ -247,7 +272,7 @@ def _sign(weights: Weights):
         memo = new_memo()
         for batch in batches:
             nodes, totals, marks, bands = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 codes = word_codes(text, memo)
                 nodes.append(node_of(codes))
                 keys, times = shingles(codes)
@@ -307,12 +332,12 @@ class _Vectors(dict):
 
 
 def _verify(weights: Weights, least: float):
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = _Vectors(weights)
-        for left, right in batches:
-            found = [similarity(vector[a], vector[b]) >= least for a, b in zip(left, right, strict=True)]
-            yield pd.Series(found, dtype=bool)
+        for batch in batches:
+            pairs = zip(_texts(batch, "text_a"), _texts(batch, "text_b"), strict=True)
+            found = [similarity(vector[a], vector[b]) >= least for a, b in pairs]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     return linked
 
@@ -333,9 +358,8 @@ def _links(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -
         "a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
     )
     with_b = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(hubs, ["a", "salt"])
-    linked = _verify(weights, least)
-    return stored(both.filter(linked("text_a", "text_b")).select("a", "b"), "linked")
+    both = with_b.join(hubs, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    return stored(both.mapInArrow(_verify(weights, least), "a binary, b binary"), "linked")
 
 
 def _alike(x: str, y: str, least: float) -> Column:
@@ -408,7 +432,7 @@ def _weighted_shingles(weights: Weights):
         memo = new_memo()
         for batch in batches:
             ids, keys, own, held = [], [], [], 0
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in zip(batch.column("id").to_pylist(), _texts(batch), strict=True):
                 found, times = shingles(word_codes(text, memo))
                 ids.append(np.full(len(found), i, np.int64))
                 keys.append(found.view(np.int64))

@@ -158,3 +158,12 @@ def test_components(spark):
     nodes = {n for a, b in pairs if a != b for n in (a, b)}
     assert got == {n: find(n) for n in nodes}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_samples_do_not_depend_on_blocks(monkeypatch):
+    draw = np.random.default_rng(6)
+    keys = np.unique(N.mix(draw.integers(0, 2**62, 500).astype(np.uint64)))
+    weights = np.where(draw.random(len(keys)) < 0.5, 2.0, draw.uniform(1, 4, len(keys)))
+    whole = N.samples(keys, weights)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    assert (N.samples(keys, weights) == whole).all()
