@@ -71,8 +71,10 @@ def run_collection(
     params: RateParams = RateParams(),
     *,
     fmt: str = "parquet",
+    prune: bool = False,
     **options,
 ) -> None:
-    """Collect, store below ``path`` and prune to the configured number of snapshots."""
+    """Collect and store below ``path``; ``prune`` deletes all but the configured number of snapshots."""
     write_snapshot(collect_snapshot(pages, params, **options), path, fmt)
-    prune_snapshots(spark, path, params.max_snapshots_retained)
+    if prune:
+        prune_snapshots(spark, path, params.max_snapshots_retained)

@@ -212,8 +212,9 @@ def collect_on_schedule(
 ) -> StreamingQuery:
     """Collect newly landed chain pages at the configured interval.
 
-    A collection that fails is logged and the next one goes on. All pages of a snapshot
-    have to land in one file, so that one micro-batch sees all of them.
+    A collection that fails is logged and ends the query before its batch is committed, so
+    the next start from the same ``checkpoint`` reads its pages again. All pages of a
+    snapshot have to land in one file, so that one micro-batch sees all of them.
     """
     pages = spark.readStream.schema(PAGES).json(pages_path)
 
@@ -222,6 +223,7 @@ def collect_on_schedule(
             run_collection(spark, landed, path, params, **options)
         except Exception:
             LOGGER.exception("collection of batch %d failed", batch_id)
+            raise
 
     return (
         pages.writeStream.foreachBatch(on_batch)

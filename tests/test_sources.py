@@ -229,6 +229,8 @@ def test_collect_and_prune(spark, tmp_path):
     path = str(tmp_path / "table")
     for day in range(2):
         run_collection(spark, pages, path, params, as_of=AT + timedelta(days=day))
+    assert len(rows(snapshots.scan_snapshots(spark, path), "snapshot_time")) == 2
+    run_collection(spark, pages, path, params, as_of=AT + timedelta(days=1), prune=True)
     stored = snapshots.scan_snapshots(spark, path)
     assert sorted(r[0].day for r in rows(stored, "snapshot_time")) == [2]
 

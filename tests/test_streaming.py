@@ -3,6 +3,7 @@ from datetime import timedelta
 
 import pytest
 from helpers import AT, quote, quotes, rows
+from pyspark.errors import StreamingQueryException
 
 from boxrates import RateParams, build_boxes, latest_boxes, stream_boxes
 from boxrates.operators.normalise import quotes_from_messages
@@ -157,9 +158,12 @@ def test_scheduled_collection_survives_a_failure(spark, tmp_path):
     assert rows(snapshots.scan_snapshots(spark, out), "snapshot_time") == [
         (AT + timedelta(minutes=1),)
     ]
-    bad = str(tmp_path / "bad")
-    query = live.collect_on_schedule(
-        spark, str(folder), bad, PARAMS, trigger={"availableNow": True}, parity_scope="other"
-    )
-    query.awaitTermination()
-    assert query.exception() is None
+    again = str(tmp_path / "again")
+    known = {"checkpoint": str(tmp_path / "checkpoint"), "trigger": {"availableNow": True}}
+    with pytest.raises(StreamingQueryException):
+        live.collect_on_schedule(
+            spark, str(folder), again, PARAMS, **known, parity_scope="other"
+        ).awaitTermination()
+    # The failed batch was not committed: its pages are collected by the next start.
+    live.collect_on_schedule(spark, str(folder), again, PARAMS, **known).awaitTermination()
+    assert len(rows(snapshots.scan_snapshots(spark, again), "snapshot_time")) == 1
