@@ -530,8 +530,14 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     - NULL ids are larger than all others; a class of them alone has a NULL ``class_id``.
     - Repeated rows are of one class; those that repeat its smallest id are all ``kept``,
       and ``drop_near`` leaves one of them.
+    - Classes are told apart by their texts: several may have the same ``class_id``.
     - Other columns are ignored. An empty table gives an empty table.
     """
+    return _rooted(docs, similarity).drop("root")
+
+
+def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
+    """``near_classes`` with the ``root`` of each row's class, a digest that no other class has."""
     weights = frequencies(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(
@@ -564,14 +570,17 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     )
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
     return of_node.join(classes, "root").select(
-        "doc_id", "class_id", "class_size", kept.alias("kept"), "text_hash"
+        "doc_id", "class_id", "class_size", kept.alias("kept"), "text_hash", "root"
     )
 
 
 def drop_near(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of near-duplicates, with the columns of ``docs``."""
-    kept = near_classes(docs, similarity=similarity).filter("kept")
-    kept = kept.groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
+    """One row of each class of near-duplicates, with the columns of ``docs``.
+
+    Classes that have the same ``class_id``, or none, keep a row each.
+    """
+    kept = _rooted(docs, similarity).filter("kept")
+    kept = kept.groupBy("root", "class_id").agg(F.min("text_hash").alias("text_hash"))
     keyed = docs.withColumn("_hash", F.xxhash64(text_of()))
     same = keyed["doc_id"].eqNullSafe(kept["class_id"]) & (keyed["_hash"] == kept["text_hash"])
     # Rows that repeat id and text are left once.

@@ -98,6 +98,16 @@ def test_drop_keeps_one_of_each_class(spark):
     assert sorted(i for i in ids if i is not None) == expected and ids.count(None) == 1
 
 
+def test_drop_keeps_one_of_each_class_with_the_same_id(spark):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("abcdefgh") + str(draw.randrange(900)) for _ in range(60)) for _ in range(5)]
+    # Unrelated texts without an id and with one id; a near copy with an id of its own.
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " end"), (None, ""), (7, texts[2]), (7, texts[3])]
+    rows += [(9, texts[3] + " end"), (8, texts[4])]
+    kept = sorted((r.doc_id or 0, r.text.removesuffix(" end")) for r in drop_near(docs(spark, rows)).collect())
+    assert kept == sorted([(0, texts[0]), (0, texts[1]), (0, ""), (7, texts[2]), (7, texts[3]), (8, texts[4])])
+
+
 def test_empty_table(spark):
     assert near_classes(docs(spark, [])).count() == 0
     assert drop_near(docs(spark, [])).count() == 0
