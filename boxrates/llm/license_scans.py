@@ -3,7 +3,7 @@
 One Aho-Corasick automaton finds the notice phrases in the words of a text, another finds
 identifier tags in the text itself. The expression behind a tag is parsed by the
 shunting-yard method (with over and over or) and evaluated to the sets of licenses that
-each satisfy it.
+each satisfy it, or kept as it is where those would be very many.
 """
 
 from __future__ import annotations
@@ -70,11 +70,17 @@ FAMILIES = [
 TAG_SCORE, PHRASE_SCORE = 0.95, 0.6
 
 _OPERATORS = {"or": 1, "and": 2, "with": 3}
-_LEXEME = re.compile(r"[A-Za-z0-9.+:-]+|[()]|\S")
-#: Alternatives beyond this are merged to one that needs them all, which satisfies each.
+_LEXEME = re.compile(r"[A-Za-z0-9.+:-]+|[()]|\n|\S")
+#: What may close a line after an expression, as ends of comments do.
+_CLOSING = re.compile(r"[*/\-#> \t\r]*(?:\n|\Z)")
+#: Expressions with more alternatives are not written out; see ``Unexpanded``.
 MAX_ALTERNATIVES = 256
 
 
+def _is_operand(lexeme: str) -> bool:
+    return lexeme.isascii() and lexeme[0].isalnum()
+
+
 def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: the expression's operands and operators in postfix order.
 
@@ -102,7 +108,7 @@ def postfix(expression: str) -> list[str] | None:
             if not stack:
                 return None
             stack.pop()
-        elif not operand_due or not lexeme[0].isalnum():
+        elif not operand_due or not _is_operand(lexeme):
             return None
         else:
             out.append(word)
@@ -112,33 +118,120 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+class Unexpanded(list):
+    """All licenses of an expression, sorted; ``order`` is the expression in postfix order.
+
+    It stands for the alternatives of an expression that has too many to write out.
+    """
+
+    def __init__(self, licenses: set[str], order: list[str]):
+        super().__init__(sorted(licenses))
+        self.order = order
+
+    def satisfied_by(self, held: set[str]) -> bool:
+        """Whether the licenses ``held`` satisfy the expression, every choice considered."""
+        stack: list[tuple[bool, str]] = []
+        for item in self.order:
+            if item not in _OPERATORS:
+                stack.append((item in held, item))
+                continue
+            right, left = stack.pop(), stack.pop()
+            if item == "with":
+                name = f"{left[1]} with {right[1]}"
+                stack.append((name in held, name))
+            else:
+                # Both sides of a license under WITH are that license.
+                value = left[0] or right[0] if item == "or" else left[0] and right[0]
+                stack.append((value, left[1]))
+        return stack[0][0]
+
+
 def evaluate(expression: str) -> list[list[str]] | None:
     """The alternatives that satisfy an expression, each a sorted list of licenses.
 
     ``A or B`` offers either's, ``A and B`` needs one of each together, and ``A with E`` is
-    the license ``A with E``. None if the expression is not well-formed.
+    the license ``A with E``. An expression in which an ``and`` has more than
+    ``MAX_ALTERNATIVES`` gives one ``Unexpanded``, which holds all of them. None if the
+    expression is not well-formed.
     """
     order = postfix(expression)
     if order is None:
         return None
-    stack: list[set[frozenset[str]]] = []
+    # Alternatives (None if they are too many) and all licenses of each operand.
+    stack: list[tuple[set[frozenset[str]] | None, set[str]]] = []
     for item in order:
         if item not in _OPERATORS:
-            stack.append({frozenset([item])})
+            stack.append(({frozenset([item])}, {item}))
             continue
-        right, left = stack.pop(), stack.pop()
-        if item == "or":
-            value = left | right
-        elif item == "and":
-            if len(left) * len(right) > MAX_ALTERNATIVES:
-                left, right = {frozenset().union(*left)}, {frozenset().union(*right)}
+        (right, names), (left, all_names) = stack.pop(), stack.pop()
+        if item == "with":
+            if any(v is None or len(v) != 1 or len(min(v)) != 1 for v in (left, right)):
+                return None
+            (a,), (b,) = min(left), min(right)
+            stack.append(({frozenset([f"{a} with {b}"])}, {f"{a} with {b}"}))
+            continue
+        all_names |= names
+        if left is None or right is None:
+            value = None
+        elif item == "or":
+            left |= right
+            value = left
+        elif len(left) * len(right) > MAX_ALTERNATIVES:
+            value = None
+        else:
             value = {a | b for a in left for b in right}
+        stack.append((value, all_names))
+    value, names = stack[0]
+    return [Unexpanded(names, order)] if value is None else sorted(sorted(a) for a in value)
+
+
+def _leading(text: str, start: int, plain: bool = False) -> str | None:
+    """The longest well-formed expression from ``start`` on within its line.
+
+    It ends before the first lexeme that can't continue it, and without full stops, colons
+    and hyphens behind its last identifier. None if there is none, or if the line ends
+    where more of the expression is due. With ``plain``, ``with`` takes identifiers only.
+    """
+    begin = end = before = None
+    depth, operand_due = 0, True
+    for found in _LEXEME.finditer(text, start):
+        lexeme, word = found[0], found[0].lower()
+        begin = found.start() if begin is None else begin
+        if _CLOSING.match(text, found.start()):
+            return None if operand_due or depth else text[begin:end]
+        if word in _OPERATORS:
+            if operand_due or (plain and word == "with" and before == ")"):
+                break
+            operand_due = True
+        elif lexeme == "(":
+            if not operand_due or (plain and before == "with"):
+                break
+            depth += 1
+        elif lexeme == ")":
+            if operand_due or not depth:
+                break
+            depth -= 1
+        elif not operand_due or not _is_operand(lexeme):
+            break
         else:
-            if any(len(s) != 1 for s in (*left, *right)) or len(left) != 1 or len(right) != 1:
-                return None
-            value = {frozenset([f"{min(*left)} with {min(*right)}"])}
-        stack.append(value)
-    return sorted(sorted(a) for a in stack[0])
+            operand_due = False
+        if not operand_due and not depth:
+            end = found.start() + len(lexeme.rstrip(".:-"))
+        before = word
+    else:
+        if operand_due or depth:
+            return None
+    return None if end is None else text[begin:end]
+
+
+def leading_expression(text: str, start: int = 0) -> tuple[str, list[list[str]]] | None:
+    """The expression that begins at ``start`` of a text, whatever follows it, and its value."""
+    for plain in (False, True):
+        expression = _leading(text, start, plain)
+        value = None if expression is None else evaluate(expression)
+        if value is not None:
+            return expression, value
+    return None
 
 
 def family(license_id: str) -> str:
@@ -185,10 +278,9 @@ def scan(text: str) -> dict:
             places.append(line.count(" ", 0, end - length + 1))
     tagged, expressions = False, []
     for end, _ in _tags().iter(lower):
-        rest = text[end + 1 :].partition("\n")[0]
-        expression = rest.rstrip("*/-#> \t\r").strip()
-        value = evaluate(expression)
-        if value is not None:
+        found = leading_expression(text, end + 1)
+        if found is not None:
+            expression, value = found
             tagged = True
             expressions.append(expression)
             labels.update(family(x) for choice in value for x in choice)
@@ -233,7 +325,9 @@ def licenses(docs: DataFrame) -> DataFrame:
     ``expressions`` as tagged; ``score`` as confidence that the text carries a license.
 
     - NULL and empty texts have no words and no labels, and score 0.
-    - Tagged expressions that are not well-formed are passed over.
+    - Behind a tag the longest well-formed expression counts, whatever follows it on the
+      line; the first word there is an identifier in prose on tags, too. Tags without one,
+      and expressions that the end of the line cuts short, are passed over.
     - Whole texts are scanned, whatever their length. Repeated rows give repeated results,
       other columns are ignored, and an empty table gives an empty table.
     """

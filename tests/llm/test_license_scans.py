@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from boxrates.llm.license_scans import evaluate, licenses, postfix, scan
+from boxrates.llm.license_scans import Unexpanded, evaluate, licenses, postfix, scan
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEXTS = [
@@ -75,6 +75,35 @@ def test_many_alternatives_stay_bounded():
     assert all({f"a{i}" for i in range(40)} | {f"b{i}" for i in range(40)} >= set(choice) for choice in value)
 
 
+@pytest.mark.parametrize(
+    ("rest", "expression"),
+    [
+        ("MIT. Permission is hereby granted", "MIT"), ("MIT, see LICENSE", "MIT"), ("MIT Permission is", "MIT"),
+        ('MIT OR Apache-2.0"', "MIT OR Apache-2.0"), ("(MIT AND ISC)) of", "(MIT AND ISC)"), ("MIT]", "MIT"),
+        ("MIT */", "MIT"), ("MIT-->", "MIT"), ("GPL-2.0+; var a=1", "GPL-2.0+"), ("MIT\\n * x", "MIT"),
+        ("MIT OR (ISC AND, x", "MIT"), ("(MIT OR ISC) WITH x", "(MIT OR ISC)"), ("MIT WITH x, y", "MIT WITH x"),
+        ("MIT OR\nISC", None), ("MIT OR */", None), ("(MIT", None), ("\nMIT", None), ("", None), ("...", None), ("OR MIT", None),
+    ],
+)
+def test_text_after_an_expression(rest, expression):
+    got = scan(f"/* one SPDX-License-Identifier: {rest}")
+    assert got["expressions"] == ([] if expression is None else [expression])
+    assert (got["score"] > 0.9) == (expression is not None)
+
+
+def test_tags_of_one_line():
+    got = scan("a SPDX-License-Identifier: MIT b SPDX-License-Identifier: ISC, c license-expression: Zlib; d")
+    assert got["expressions"] == ["MIT", "ISC", "Zlib"] and got["labels"] == "isc,mit,zlib"
+
+
+def test_no_choice_is_lost_among_many_alternatives():
+    [value] = evaluate(" AND ".join(f"(a{i} OR b{i} WITH x)" for i in range(40)) + " OR c")
+    assert isinstance(value, Unexpanded) and len(value) == 81
+    assert value.satisfied_by({f"a{i}" if i % 3 else f"b{i} with x" for i in range(40)})
+    assert value.satisfied_by({"c"}) and not value.satisfied_by({f"a{i}" for i in range(39)})
+    assert evaluate("(" + " AND ".join(f"(a{i} OR b{i})" for i in range(40)) + ") WITH x") is None
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert licenses(docs(spark, [])).count() == 0
     assert licenses(docs(spark, [(None, "mit license")] * 2)).filter("n_base = 1 and doc_id is null").count() == 2
