@@ -14,7 +14,7 @@ from boxrates.params import RateParams
 from boxrates.schema import utc
 from boxrates.session import work_dir
 from boxrates.sources.chain_pages import chain_items, underlying_price
-from boxrates.sources.snapshots import prune_snapshots, write_snapshot
+from boxrates.sources.snapshots import clear_snapshots, prune_snapshots, write_snapshot
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -72,9 +72,19 @@ def run_collection(
     *,
     fmt: str = "parquet",
     prune: bool = False,
+    replaced: set[datetime] | None = None,
     **options,
 ) -> None:
-    """Collect and store below ``path``; ``prune`` deletes all but the configured number of snapshots."""
-    write_snapshot(collect_snapshot(pages, params, **options), path, fmt)
+    """Collect and store below ``path``; ``prune`` deletes all but the configured number of snapshots.
+
+    Of the times ``replaced``, those that come out without boxes are deleted too.
+    """
+    boxes = collect_snapshot(pages, params, **options)
+    if replaced:
+        boxes = staged(boxes, "collected")
+    write_snapshot(boxes, path, fmt)
+    if replaced:
+        found = {row[0] for row in boxes.select("snapshot_time").distinct().collect()}
+        clear_snapshots(spark, path, replaced - found)
     if prune:
         prune_snapshots(spark, path, params.max_snapshots_retained)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -163,3 +164,16 @@ def prune_snapshots(spark: SparkSession, path: str, keep: int) -> int:
     for directory in excess:
         fs.delete(directory, True)
     return len(excess)
+
+
+def clear_snapshots(spark: SparkSession, path: str, times: set[datetime]) -> None:
+    """Delete the snapshots of ``times`` from the managed table."""
+    for day in {time.date() for time in times}:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(
+            f"{path}/{PARTITIONS[0]}={day}/{PARTITIONS[1]}=*"
+        )
+        fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(pattern) or []:
+            written = unquote(status.getPath().getName().partition("=")[2])
+            if datetime.fromisoformat(written) in times:
+                fs.delete(status.getPath(), True)

@@ -16,6 +16,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from boxrates.functions.pricing import expiry_time
 from boxrates.operators.boxes import build_boxes
@@ -200,6 +201,26 @@ def stream_status(current: DataFrame, params: RateParams = RateParams()) -> Data
     )
 
 
+def _keep_pages(landed: DataFrame, kept: str, batch_id: int) -> set[datetime | None]:
+    """Keep the pages of a batch; returns the times of their snapshots."""
+    folder = f"{kept}/batch_id={batch_id}"
+    landed.write.mode("overwrite").partitionBy("snapshot_time").parquet(folder)
+    written = landed.sparkSession.read.schema(PAGES).parquet(folder)
+    return {row[0] for row in written.select("snapshot_time").distinct().collect()}
+
+
+def _kept_pages(spark: SparkSession, kept: str, times: set, upto: int) -> DataFrame:
+    """All pages of the snapshots ``times``, each as it landed last."""
+    pages = spark.read.schema(f"{PAGES}, batch_id bigint").option("basePath", kept).parquet(kept)
+    time = F.col("snapshot_time")
+    wanted = time.isin(*[utc(t) for t in times if t is not None])
+    if None in times:
+        wanted = wanted | time.isNull()
+    page = Window.partitionBy("snapshot_time", "ticker", "page_no")
+    last = pages.filter(wanted & (F.col("batch_id") <= upto)).withColumn("_last", F.max("batch_id").over(page))
+    return last.filter(F.col("batch_id") == F.col("_last")).drop("_last", "batch_id")
+
+
 def collect_on_schedule(
     spark: SparkSession,
     pages_path: str,
@@ -213,21 +234,26 @@ def collect_on_schedule(
     """Collect newly landed chain pages at the configured interval.
 
     A collection that fails is logged and ends the query before its batch is committed, so
-    the next start from the same ``checkpoint`` reads its pages again. All pages of a
-    snapshot have to land in one file, so that one micro-batch sees all of them.
+    the next start from the same ``checkpoint`` reads its pages again. Pages are kept below
+    the checkpoint: a snapshot whose pages land in several batches is rebuilt from all of
+    them, and a page that lands again replaces the earlier one.
     """
     pages = spark.readStream.schema(PAGES).json(pages_path)
+    checkpoint = checkpoint or work_dir(spark, "collect")
+    kept = f"{checkpoint}/landed"
 
     def on_batch(landed: DataFrame, batch_id: int) -> None:
         try:
-            run_collection(spark, landed, path, params, **options)
+            times = _keep_pages(landed, kept, batch_id)
+            whole = _kept_pages(spark, kept, times, batch_id)
+            run_collection(spark, whole, path, params, replaced=times - {None}, **options)
         except Exception:
             LOGGER.exception("collection of batch %d failed", batch_id)
             raise
 
     return (
         pages.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint or work_dir(spark, "collect"))
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": f"{params.trigger_seconds} seconds"}))
         .start()
     )

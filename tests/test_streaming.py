@@ -167,3 +167,24 @@ def test_scheduled_collection_survives_a_failure(spark, tmp_path):
     # The failed batch was not committed: its pages are collected by the next start.
     live.collect_on_schedule(spark, str(folder), again, PARAMS, **known).awaitTermination()
     assert len(rows(snapshots.scan_snapshots(spark, again), "snapshot_time")) == 1
+
+
+def test_scheduled_collection_of_a_snapshot_in_parts(spark, tmp_path):
+    def item(kind, strike, bid):
+        return {"option_type": kind, "strike": strike, "expiry": "2026-07-02", "bid": bid, "ask": bid + 0.4}
+
+    parts = [[item("call", 4000, 110.0), item("put", 4000, 60.0)], [item("call", 4100, 50.0), item("put", 4100, 97.6)]]
+    folder, out = tmp_path / "pages", str(tmp_path / "table")
+    folder.mkdir()
+    known = {"checkpoint": str(tmp_path / "checkpoint"), "trigger": {"availableNow": True}}
+
+    def land(name, page_no, items):
+        page = {"ticker": "SPX", "page_no": page_no, "document": json.dumps(items), "snapshot_time": AT.isoformat()}
+        (folder / name).write_text(json.dumps(page))
+        live.collect_on_schedule(spark, str(folder), out, PARAMS, **known).awaitTermination()
+        return rows(snapshots.scan_snapshots(spark, out), "kl", "ks")
+
+    assert land("0.json", 0, parts[0]) == []
+    assert land("1.json", 1, parts[1]) == [(4000.0, 4100.0)]
+    # The snapshot is collected again, without items on one page.
+    assert land("2.json", 0, []) == []
