@@ -51,3 +51,7 @@ class RateParams:
     def trigger_seconds(self) -> int:
         """Collector cadence; never below five seconds."""
         return max(self.update_interval_seconds, 5)
+
+
+#: Every ticker and expiry: what a collection takes where no parameters are given.
+ALL = RateParams(tickers=(), expiries_per_ticker=0)

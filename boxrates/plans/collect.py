@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxrates.operators.boxes import build_boxes
 from boxrates.operators.normalise import quotes_from_items
 from boxrates.operators.quotes import expiries_per_ticker, parity_spot, quotes_for_expiries
-from boxrates.params import RateParams
+from boxrates.params import ALL, RateParams
 from boxrates.schema import utc
 from boxrates.session import work_dir
 from boxrates.sources.chain_pages import chain_items, underlying_price
@@ -26,7 +26,7 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 
 def collect_snapshot(
     pages: DataFrame,
-    params: RateParams = RateParams(),
+    params: RateParams = ALL,
     *,
     as_of: datetime | None = None,
     price_documents: DataFrame | None = None,
@@ -37,7 +37,8 @@ def collect_snapshot(
 
     ``pages`` holds ``ticker, page_no, document`` and, when it spans many snapshots,
     ``snapshot_time``; otherwise all of it is of time ``as_of`` (UTC, naive). Of each
-    chain the earliest ``params.expiries_per_ticker`` expiries are used. The spot
+    chain the earliest ``params.expiries_per_ticker`` expiries are used; without ``params``,
+    all expiries of all tickers. The spot
     comes from ``price_documents``, else from put-call parity over the whole chain
     (``parity_scope=None`` turns that off).
 
@@ -68,7 +69,7 @@ def run_collection(
     spark: SparkSession,
     pages: DataFrame,
     path: str,
-    params: RateParams = RateParams(),
+    params: RateParams = ALL,
     *,
     fmt: str = "parquet",
     prune: bool = False,

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from boxrates.functions.pricing import expiry_time
 from boxrates.operators.boxes import build_boxes
 from boxrates.operators.quotes import merge_updates, parity_spot, tracked_only
-from boxrates.params import RateParams
+from boxrates.params import ALL, RateParams
 from boxrates.plans.collect import run_collection
 from boxrates.schema import BOXES, CONTRACT, QUOTES, conform, utc
 from boxrates.session import work_dir
@@ -225,7 +225,7 @@ def collect_on_schedule(
     spark: SparkSession,
     pages_path: str,
     path: str,
-    params: RateParams = RateParams(),
+    params: RateParams = ALL,
     *,
     checkpoint: str | None = None,
     trigger: dict | None = None,

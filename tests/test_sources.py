@@ -350,3 +350,15 @@ def test_snapshot_times_do_not_depend_on_the_session_zone(spark, tmp_path):
         assert rows(recent, "snapshot_time") == [(AT,)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_collection_without_parameters_takes_all_chains(spark):
+    def item(expiry, kind, strike, bid):
+        return {"option_type": kind, "strike": strike, "expiry": expiry, "bid": bid, "ask": bid + 0.4}
+
+    expiries = ["2026-07-02", "2026-08-06", "2026-09-03"]
+    legs = [("call", 4000, 110.0), ("put", 4000, 60.0), ("call", 4100, 50.0), ("put", 4100, 97.6)]
+    document = json.dumps([item(e, *leg) for e in expiries for leg in legs])
+    pages = spark.createDataFrame([(t, 0, document) for t in ("SPX", "NDX")], "ticker string, page_no bigint, document string")
+    found = rows(collect_snapshot(pages, as_of=AT), "ticker", "expiry")
+    assert sorted(found) == [(t, e) for t in ("NDX", "SPX") for e in expiries]
