@@ -14,8 +14,11 @@ from boxrates.llm.license_scans import licenses
 from boxrates.llm.mixing import mixed
 from boxrates.llm.near_dedup import near_classes
 from boxrates.llm.packing import packed
+from boxrates.llm.prefix_trie import prefix_nodes
 from boxrates.llm.secret_scans import base_only, count_kind, joined_spans, scan_versions
 from boxrates.llm.segment_search import top_k
+from boxrates.llm.spelling import variants, word_counts
+from boxrates.llm.suffix_repeats import without_repeats
 from boxrates.llm.token_counts import token_counts
 from boxrates.llm.toxicity import scored_documents
 from boxrates.llm.warc_zip import archived
@@ -80,6 +83,18 @@ def op10_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op11_spelling(spark, sf_dir):
+    return variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_suffix_repeats(spark, sf_dir):
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -97,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_scans": op8_license_scans,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_suffix_repeats": op12_suffix_repeats,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
