@@ -15,7 +15,7 @@ import json
 import os
 import time
 
-from boxrates.conformance.queries import QUERIES
+from boxrates.conformance.registry import QUERIES
 from boxrates.session import local_session
 
 HEADLINE = [

@@ -12,18 +12,11 @@ from boxrates.operators.normalise import quotes_from_items
 from boxrates.operators.quotes import expiries_per_ticker, parity_spot, quotes_for_expiries
 from boxrates.params import ALL, RateParams
 from boxrates.schema import utc
-from boxrates.session import work_dir
+from boxrates.session import staged
 from boxrates.sources.chain_pages import chain_items, underlying_price
 from boxrates.sources.snapshots import clear_snapshots, prune_snapshots, write_snapshot
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The same rows, written once to the shared work folder and read back from there."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def collect_snapshot(
     pages: DataFrame,
     params: RateParams = ALL,
