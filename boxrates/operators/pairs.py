@@ -96,3 +96,58 @@ def strike_pairs(
     if width is not None:
         within = within & (gap <= max_gap)
     return pairs.filter(within).drop("_bucket", "_row", "_column")
+
+
+def pairs_between(
+    lower: DataFrame,
+    upper: DataFrame,
+    keys: Sequence[str] = tuple(CHAIN),
+    *,
+    min_gap: float = 0.0,
+    max_gap: float | None = None,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """As ``strike_pairs``, but the lower strikes come from one table and the upper from another.
+
+    The two have the same columns, all of which but ``keys`` come out twice. The work follows
+    the pairs of the two tables: with few rows on one side it is linear in the other. A group
+    heavy on either side is cut into a rectangle of cells of at most about ``cell_rows / 2``
+    by ``cell_rows / 2`` rows.
+    """
+    width = _bucket_width(max_gap)
+    zero = F.lit(0.0)
+    bucket = zero if width is None else F.coalesce(_bucket(F.col("strike") / width), zero)
+    legs = [c for c in lower.columns if c not in keys]
+    group = [*keys, "_bucket"]
+    known = " AND ".join(f"{column} IS NOT NULL" for column in [*keys, "strike"])
+    slot = F.xxhash64(*legs)
+    lower = lower.filter(known).withColumns({"_bucket": bucket, "_slot": slot})
+    upper = upper.filter(known).withColumns({"_bucket": bucket, "_slot": slot})
+    if width is not None:
+        near = F.array_distinct(F.array(F.col("_bucket"), F.col("_bucket") + 1))
+        lower = lower.withColumn("_bucket", F.explode(near))
+
+    def cells(side: DataFrame, name: str) -> DataFrame:
+        sizes = side.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        return heaviest(sizes, group, "_size", cell_rows // 2).select(
+            *group, F.ceil(2 * F.col("_size") / cell_rows).cast("int").alias(name)
+        )
+
+    hot = cells(lower, "_rows").join(cells(upper, "_columns"), group, "full")
+    hot = hot.select(*group, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("_rows", "_columns")])
+
+    def into_cells(side: DataFrame, own: str, many: str, other: str, others: str) -> DataFrame:
+        cut = side.join(hot, group, "left")
+        own_cell = F.pmod(F.col("_slot"), F.coalesce(many, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1))
+        return cut.withColumn(own, own_cell).withColumn(other, every).drop("_rows", "_columns", "_slot")
+
+    lower = into_cells(lower, "_row", "_rows", "_column", "_columns")
+    upper = into_cells(upper, "_column", "_columns", "_row", "_rows")
+    lower = lower.withColumnsRenamed({leg: f"{leg}_kl" for leg in legs})
+    upper = upper.withColumnsRenamed({leg: f"{leg}_ks" for leg in legs})
+    gap = F.col("strike_ks") - F.col("strike_kl")
+    within = (gap > 0) & (gap >= min_gap)
+    if width is not None:
+        within = within & (gap <= max_gap)
+    return lower.join(upper, [*group, "_row", "_column"]).filter(within).drop("_bucket", "_row", "_column")

@@ -1,41 +1,72 @@
-"""Live quotes: stateful merge, and boxes rebuilt for the chains that changed.
-
-A run keeps four Parquet folders below its output path, each split by micro-batch:
-``changes`` (current quote of every contract the batch changed), ``base`` (now and
-then, the current quotes of all contracts), ``boxes`` and ``rebuilt`` (the chains
-whose boxes the batch replaced). A batch only ever overwrites its own folder, so
-repeating it after a failure leaves the same result.
+"""Live quotes: stateful merge, and boxes kept up to date by what changed.
+
+The current quotes of a stream are its own state: ``current_quotes`` reads them from the state
+store of the query's checkpoint, as of any batch that is still kept there.
+
+Boxes are maintained by a delta join. What two strikes alone decide about a box (its prices
+and volumes) is stored; time to expiry, spot and rates follow when boxes are read. A batch
+pairs the strikes that it changed with all strikes of their chains and stores those pairs
+and the list of changed strikes, in folders of its own. A stored pair counts for as long as
+neither of its strikes has changed in a later batch, so nothing has to be deleted when a
+strike moves or loses its liquidity. Now and then the pairs that count are written together
+and older folders are removed. Repeating a batch after a failure leaves the same result.
 """
 
 from __future__ import annotations
 
 import logging
-import re
+from collections.abc import Callable
 from datetime import UTC, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from boxrates.functions.pricing import expiry_time
-from boxrates.operators.boxes import build_boxes
-from boxrates.operators.quotes import merge_updates, parity_spot, tracked_only
+from boxrates.functions.pricing import expiry_time, years_to_expiry
+from boxrates.operators.boxes import LEG_COUNTS, box_leg_volumes, box_moneyness, box_prices, box_rates
+from boxrates.operators.pairs import pairs_between
+from boxrates.operators.quotes import (
+    COUNT_FIELDS,
+    PRICE_FIELDS,
+    SIZE_FIELDS,
+    merge_updates,
+    parity_spot,
+    tracked_only,
+    with_mid,
+)
+from boxrates.operators.strikes import liquid_strikes, pivot_unique, synthetic_forwards
 from boxrates.params import ALL, RateParams
 from boxrates.plans.collect import run_collection
 from boxrates.schema import BOXES, CONTRACT, QUOTES, conform, utc
 from boxrates.session import work_dir
+from boxrates.sources.paths import complete_batches, delete
 
 LOGGER = logging.getLogger(__name__)
 
 MESSAGES = "value string, seq bigint, ts timestamp_ntz"
 PAGES = "ticker string, page_no bigint, document string, snapshot_time timestamp_ntz"
 
-# Batches between two full writes of the current quotes.
+# Batches between two full writes of the pairs that count.
 BASE_EVERY = 50
 # Seeded quotes are numbered below every live message.
 SEED_OFFSET = -(1 << 62)
 
+CHAIN_NOW = ["ticker", "expiry"]
+STRIKE = [*CHAIN_NOW, "strike"]
+
+_LATE = {"snapshot_time", "tte_years", "mid_rate", "lend_rate", "borrow_rate", "spot_price"}
+PAIRS = T.StructType([f for f in BOXES.fields if f.name not in _LATE and not f.name.startswith("moneyness")])
+_KINDS = {
+    "pairs": PAIRS,
+    "strikes": T.StructType([f for f in QUOTES.fields if f.name in STRIKE]),
+    "parity": T.StructType(
+        [f for f in BOXES.fields if f.name in (*CHAIN_NOW, "spot_price")]
+    ),
+}
+
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json", **options) -> DataFrame:
     """Stream of messages ``value, seq, ts``.
@@ -67,69 +98,98 @@ def with_seed(quotes: DataFrame, path: str) -> DataFrame:
     return conform(quotes, QUOTES).unionByName(seed)
 
 
-def _batches(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the completely written batches of a folder."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch_id=*/_SUCCESS")
-    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    paths = [status.getPath().toString() for status in fs.globStatus(pattern) or []]
-    return sorted(int(re.search(r"batch_id=(\d+)/_SUCCESS$", path).group(1)) for path in paths)
+def _state_type() -> T.StructType:
+    """The buffers of ``merge_updates`` as the state store holds them, with names."""
+    types = {f.name: f.dataType for f in QUOTES.fields}
+    fields = []
+    for name in [*PRICE_FIELDS, *COUNT_FIELDS, *SIZE_FIELDS, "symbol"]:
+        fields += [T.StructField(name, types[name]), T.StructField(f"{name}_at", T.LongType())]
+    last = [("n_updates", T.LongType()), ("seq", T.LongType()), ("last_update", T.TimestampNTZType())]
+    return T.StructType([*fields, *[T.StructField(name, kind) for name, kind in last]])
 
 
-def _write_batch(df: DataFrame, path: str, kind: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{kind}/batch_id={batch_id}")
+def current_quotes(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """Current quote of every contract after batch ``batch_id`` (default: the last one).
 
+    Reads the state of the stream that runs, or ran, with ``checkpoint``; its columns are
+    those of ``merge_updates``. The last 100 batches can be asked for unless the session
+    keeps another number of them (``spark.sql.streaming.minBatchesToRetain``).
+    """
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    # The buffers share two names, so they are told apart by their place.
+    state = reader.load(checkpoint).select("key", F.col("value").cast(_state_type()).alias("v"))
+    types = {f.name: f.dataType for f in QUOTES.fields}
+    numbers = [
+        F.coalesce(f"v.{f}", F.lit(0)).cast(types[f]).alias(f) for f in [*PRICE_FIELDS, *COUNT_FIELDS]
+    ]
+    others = [F.col(f"v.{f}").alias(f) for f in [*SIZE_FIELDS, "symbol", "n_updates", "seq", "last_update"]]
+    return state.select(*[F.col(f"key.{k}").alias(k) for k in CONTRACT], *numbers, *others)
 
-def _read_batches(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    # The schema is that of the first file: listing is needed, inferring is not.
-    return spark.read.option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}")
 
+def _write_batch(df: DataFrame, path: str, kind: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/{kind}/batch_id={batch_id}")
 
-def current_quotes(
-    spark: SparkSession, path: str, *, upto: int | None = None, among: DataFrame | None = None
-) -> DataFrame:
-    """Current quote of every contract after batch ``upto`` (default: the last one).
 
-    ``among`` restricts it to the (ticker) or (ticker, expiry) rows given, before
-    anything is shuffled.
-    """
-    rows = _read_batches(spark, path, "changes")
-    if upto is not None:
-        rows = rows.filter(F.col("batch_id") <= upto)
-    bases = [b for b in _batches(spark, f"{path}/base") if upto is None or b <= upto]
-    if bases:
-        base = spark.read.parquet(f"{path}/base/batch_id={bases[-1]}")
-        rows = rows.filter(F.col("batch_id") > bases[-1]).unionByName(
-            base.withColumn("batch_id", F.lit(bases[-1]))
-        )
-    if among is not None:
-        rows = rows.join(among, among.columns, "left_semi")
-    state = [c for c in rows.columns if c not in (*CONTRACT, "batch_id")]
-    return rows.groupBy(*CONTRACT).agg(*[F.max_by(c, "batch_id").alias(c) for c in state])
+def _read_batches(spark: SparkSession, path: str, kind: str, batches: list[int]) -> DataFrame:
+    schema = T.StructType([*_KINDS[kind].fields, T.StructField("batch_id", T.LongType())])
+    folders = [f"{path}/{kind}/batch_id={b}" for b in batches]
+    return spark.read.schema(schema).option("basePath", f"{path}/{kind}").parquet(*folders)
 
 
 def _start(
-    quotes: DataFrame, path: str, on_batch, checkpoint: str | None, trigger: dict
+    quotes: DataFrame, on_batch, checkpoint: str, trigger: dict, name: str | None = None
 ) -> StreamingQuery:
-    checkpoint = checkpoint or work_dir(quotes.sparkSession, "stream")
-    return (
-        merge_updates(quotes)
-        .writeStream.outputMode("update")
-        .foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    writer = merge_updates(quotes).writeStream.outputMode("update").foreachBatch(on_batch)
+    if name:
+        writer = writer.queryName(name)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def stream_merge(
-    quotes: DataFrame, path: str, *, checkpoint: str | None = None, **trigger
+    quotes: DataFrame, checkpoint: str, *, name: str | None = None, **trigger
 ) -> StreamingQuery:
     """Keep the current quote of every contract of a stream; read it with ``current_quotes``."""
 
     def on_batch(changed: DataFrame, batch_id: int) -> None:
-        _write_batch(changed, path, "changes", batch_id)
+        changed.write.format("noop").mode("overwrite").save()
+
+    return _start(quotes, on_batch, checkpoint, trigger or {"availableNow": True}, name)
 
-    return _start(quotes, path, on_batch, checkpoint, trigger or {"availableNow": True})
+
+def _legs(quotes: DataFrame, params: RateParams) -> DataFrame:
+    """What pairing needs of each liquid strike of the current quotes."""
+    strikes = pivot_unique(with_mid(quotes), CHAIN_NOW)
+    liquid = liquid_strikes(strikes, params.min_volume, params.min_open_interest)
+    return synthetic_forwards(liquid).select(*STRIKE, "sfl", "sfs", "sf_mid", *LEG_COUNTS)
+
+
+def delta_pairs(legs: DataFrame, moved: DataFrame, params: RateParams) -> DataFrame:
+    """Prices of all pairs of ``legs`` of which at least one strike is in ``moved``, each once.
+
+    Changed strikes meet all upper strikes of their chain, and the others as lower strikes
+    meet changed ones: work linear in the chain for each changed strike.
+    """
+    gaps = {"min_gap": params.min_strike_gap, "max_gap": params.max_strike_gap}
+    changed = legs.join(moved, STRIKE, "left_semi")
+    others = legs.join(moved, STRIKE, "left_anti")
+    up = pairs_between(changed, legs, CHAIN_NOW, **gaps)
+    down = pairs_between(others, changed, CHAIN_NOW, **gaps)
+    priced = box_leg_volumes(box_prices(up.unionByName(down)))
+    # No time to expiry and no spot makes a box of a pair whose mid price is out of bounds.
+    return conform(priced.filter("mid_cost > 0 AND mid_cost < payoff"), PAIRS)
+
+
+def last_spots(history: DataFrame, stamp: datetime) -> DataFrame:
+    """``ticker, feed_price``: the last price of every ticker at ``stamp``.
+
+    ``history`` is as ``spot_as_of`` takes it; at a single time an aggregation finds what
+    is valid then.
+    """
+    order = ["spot_time", *(["seq"] if "seq" in history.columns else []), "spot_price"]
+    known = history.filter((F.col("spot_time") <= utc(stamp)) & (F.nanvl("spot_price", F.lit(0.0)) > 0))
+    return known.groupBy("ticker").agg(F.max_by("spot_price", F.struct(*order)).alias("feed_price"))
 
 
 def stream_boxes(
@@ -138,55 +198,159 @@ def stream_boxes(
     params: RateParams = RateParams(),
     *,
     tracked: DataFrame | None = None,
-    feed: DataFrame | None = None,
+    spots: Callable[[], DataFrame] | DataFrame | None = None,
     parity_scope: str | None = "chain",
-    as_of: datetime | None = None,
+    as_of: datetime | Callable[[int], datetime] | None = None,
     base_every: int = BASE_EVERY,
     checkpoint: str | None = None,
+    name: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Keep the boxes of a stream of quotes up to date; read them with ``latest_boxes``.
 
-    ``tracked`` limits the stream to its (ticker, expiry) rows. Each micro-batch
-    rebuilds the chains it changed and no others; where the parity spot pools the
-    expiries of a ticker, a change in one of them changes the others' boxes too, so
-    the whole ticker is rebuilt. Boxes are stamped ``as_of``, or the time of the batch.
-    The default trigger is the configured interval. Name a ``checkpoint`` to be able to
-    resume after a restart.
+    ``tracked`` limits the stream to its (ticker, expiry) rows. Boxes are stamped with the
+    time of the last batch, or ``as_of``, which may be a function of the batch's number.
+    ``spots`` is a history ``ticker, spot_time, spot_price``; as a function it is called in
+    each batch, so that prices that landed since are seen, and each ticker takes its last
+    price at the stamp. Put-call parity, recomputed for the tickers (or expiries, by
+    ``parity_scope``) that changed, serves tickers without a price there.
+
+    The default trigger is the configured interval. The checkpoint is below ``path`` unless
+    given; a restart with the same one goes on where the stream ended.
     """
     spark = quotes.sparkSession
-    unit = ["ticker"] if parity_scope == "chain" else ["ticker", "expiry"]
+    checkpoint = checkpoint or f"{path}/checkpoint"
+    unit = ["ticker"] if parity_scope == "chain" else CHAIN_NOW
     if tracked is not None:
         quotes = tracked_only(quotes, tracked)
 
     def on_batch(changed: DataFrame, batch_id: int) -> None:
-        _write_batch(changed, path, "changes", batch_id)
-        stored = spark.read.parquet(f"{path}/changes/batch_id={batch_id}")
-        touched = stored.select(*unit).distinct()
-        stamp = as_of or datetime.now(UTC).replace(tzinfo=None)
-        current = current_quotes(spark, path, upto=batch_id, among=touched).withColumn(
-            "snapshot_time", utc(stamp)
-        )
-        parity = parity_spot(current, parity_scope) if parity_scope else None
-        boxes = build_boxes(current, params, feed=feed, parity=parity, unique_contracts=True)
-        _write_batch(boxes, path, "boxes", batch_id)
-        chains = current.select(
-            "ticker", F.date_format(expiry_time(F.col("expiry")), "yyyy-MM-dd").alias("expiry")
-        )
-        _write_batch(chains.distinct(), path, "rebuilt", batch_id)
+        stamp = as_of(batch_id) if callable(as_of) else as_of or datetime.now(UTC).replace(tzinfo=None)
+        # Kept, as reading it again would run the merge again.
+        changed = changed.persist(StorageLevel.DISK_ONLY)
+        now = changed
+        if batch_id > 0:
+            before = current_quotes(spark, checkpoint, batch_id - 1)
+            touched = changed.select(*unit).distinct()
+            unchanged = before.join(changed, CONTRACT, "left_anti").join(touched, unit, "left_semi")
+            now = changed.unionByName(unchanged)
+        moved = changed.select(*STRIKE).distinct()
+        chains = changed.select(*CHAIN_NOW).distinct()
+        legs = _legs(now.join(chains, CHAIN_NOW, "left_semi"), params).persist(StorageLevel.DISK_ONLY)
+        _write_batch(delta_pairs(legs, moved, params), path, "pairs", batch_id)
+        _write_batch(moved, path, "strikes", batch_id)
+        if parity_scope is not None:
+            stamped = now.withColumn("snapshot_time", utc(stamp))
+            parity = parity_spot(stamped, parity_scope).drop("snapshot_time")
+            found = changed.select(*unit).distinct().join(parity, unit, "left")
+            _write_batch(conform(found, _KINDS["parity"]), path, "parity", batch_id)
+        if spots is not None:
+            history = spots() if callable(spots) else spots
+            _write_batch(last_spots(history, stamp), path, "spots", batch_id)
+        state = spark.range(1).select(utc(stamp).alias("stamp"), F.lit(params.max_abs_rate).alias("max_abs_rate"))
+        _write_batch(state, path, "stamps", batch_id)
+        legs.unpersist()
+        changed.unpersist()
         if (batch_id + 1) % base_every == 0:
-            _write_batch(current_quotes(spark, path, upto=batch_id), path, "base", batch_id)
+            _write_base(spark, path, batch_id, parity_scope is not None)
 
     trigger = trigger or {"processingTime": f"{params.trigger_seconds} seconds"}
-    return _start(quotes, path, on_batch, checkpoint, trigger)
+    return _start(quotes, on_batch, checkpoint, trigger, name)
+
 
+def _since_base(
+    spark: SparkSession, path: str, upto: int, *, below: int | None = None
+) -> tuple[list[int], list[int]]:
+    """The newest base (none or one) up to batch ``upto`` and before ``below``, and the batches after it."""
+    below = upto + 1 if below is None else below
+    bases = [b for b in complete_batches(spark, f"{path}/base") if b < below][-1:]
+    after = bases[0] if bases else -1
+    return bases, [b for b in complete_batches(spark, f"{path}/stamps") if after < b <= upto]
 
-def latest_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of every chain as of its latest rebuild."""
-    rebuilt = _read_batches(spark, path, "rebuilt")
-    newest = rebuilt.groupBy("ticker", "expiry").agg(F.max("batch_id").alias("batch_id"))
-    boxes = _read_batches(spark, path, "boxes")
-    return conform(boxes.join(newest, newest.columns, "left_semi"), BOXES)
+
+def _with_base(spark: SparkSession, path: str, kind: str, bases: list[int], batches: list[int]) -> DataFrame:
+    """Rows of the batches and of the base, ``at`` telling the batch that each comes from."""
+    schema = _KINDS[kind]
+    found = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("at", T.LongType())]))
+    if batches:
+        rows = _read_batches(spark, path, kind, batches).withColumnRenamed("batch_id", "at")
+        found = found.unionByName(rows)
+    for base in bases:
+        found = found.unionByName(spark.read.schema(found.schema).parquet(f"{path}/base_{kind}/batch_id={base}"))
+    return found
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    others = [c for c in rows.columns if c not in (*keys, "at")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct("at", *others), "at").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
+def _valid_pairs(spark: SparkSession, path: str, bases: list[int], batches: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Stored pairs of whose strikes none changed later, and each strike's last change."""
+    strikes = _with_base(spark, path, "strikes", bases, batches).groupBy(*STRIKE).agg(F.max("at").alias("at"))
+    pairs = _with_base(spark, path, "pairs", bases, batches)
+    for leg in ("kl", "ks"):
+        changed = strikes.select(*CHAIN_NOW, F.col("strike").alias(leg), F.col("at").alias(f"_{leg}_at"))
+        pairs = pairs.join(changed, [*CHAIN_NOW, leg])
+    pairs = pairs.filter(F.col("at") == F.greatest("_kl_at", "_ks_at")).drop("_kl_at", "_ks_at")
+    return pairs, strikes
+
+
+def _write_base(spark: SparkSession, path: str, batch_id: int, parity: bool) -> None:
+    """Write together what counts; folders that the base before this one replaced go.
+
+    The mark in ``base`` comes last, so a base that was cut short is never read.
+    """
+    old, batches = _since_base(spark, path, batch_id, below=batch_id)
+    pairs, strikes = _valid_pairs(spark, path, old, batches)
+    _write_batch(pairs, path, "base_pairs", batch_id)
+    _write_batch(strikes, path, "base_strikes", batch_id)
+    if parity:
+        prices = _newest(_with_base(spark, path, "parity", old, batches), CHAIN_NOW)
+        _write_batch(prices, path, "base_parity", batch_id)
+    _write_batch(spark.range(1), path, "base", batch_id)
+    # Readers may still be at the base before; what lies before that one is not read again.
+    for base in old:
+        for kind in ("pairs", "strikes", "parity", "spots", "stamps"):
+            for b in complete_batches(spark, f"{path}/{kind}"):
+                if b <= base:
+                    delete(spark, f"{path}/{kind}/batch_id={b}")
+        for kind in ("base_pairs", "base_strikes", "base_parity", "base"):
+            for b in complete_batches(spark, f"{path}/{kind}"):
+                if b < base:
+                    delete(spark, f"{path}/{kind}/batch_id={b}")
+
+
+def latest_boxes(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """All boxes as of the last batch, or of batch ``batch_id`` since the last but one base."""
+    upto = complete_batches(spark, f"{path}/stamps")
+    upto = [b for b in upto if batch_id is None or b <= batch_id]
+    if not upto:
+        return spark.createDataFrame([], BOXES)
+    last = upto[-1]
+    bases, batches = _since_base(spark, path, last)
+    pairs, _ = _valid_pairs(spark, path, bases, batches)
+    stamp, most = spark.read.parquet(f"{path}/stamps/batch_id={last}").first()
+    expiry_at = expiry_time(F.col("expiry"))
+    years = F.when(expiry_at.isNotNull(), years_to_expiry(expiry_at, F.col("snapshot_time")))
+    boxes = pairs.drop("at").withColumn("snapshot_time", utc(stamp)).withColumn("tte_years", years)
+
+    found = []
+    if last in complete_batches(spark, f"{path}/spots"):
+        boxes = boxes.join(spark.read.parquet(f"{path}/spots/batch_id={last}"), "ticker", "left")
+        found.append("feed_price")
+    if last in complete_batches(spark, f"{path}/parity"):
+        parity = _newest(_with_base(spark, path, "parity", bases, batches), CHAIN_NOW)
+        # Of a ticker as a whole, parity is stored without an expiry.
+        for column, unit in (("whole_price", ["ticker"]), ("parity_price", CHAIN_NOW)):
+            rows = parity.filter(F.col("expiry").isNull() if unit == ["ticker"] else F.col("expiry").isNotNull())
+            boxes = boxes.join(rows.select(*unit, F.col("spot_price").alias(column)), unit, "left")
+            found.append(column)
+    spot = F.coalesce(*found) if found else F.lit(None)
+    boxes = boxes.withColumn("spot_price", spot.cast("double"))
+    boxes = box_moneyness(box_rates(boxes, most))
+    return conform(boxes.withColumn("expiry", F.date_format(expiry_time(F.col("expiry")), "yyyy-MM-dd")), BOXES)
 
 
 def stream_status(current: DataFrame, params: RateParams = RateParams()) -> DataFrame:

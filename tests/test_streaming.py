@@ -58,50 +58,118 @@ def _batch_state(spark, batches):
     return merge_updates(quotes_from_messages(messages))
 
 
-def test_stream_merge_equals_batch_merge(spark, tmp_path):
-    folder = _land(tmp_path / "in", BATCHES)
-    out = str(tmp_path / "out")
-    live.stream_merge(_stream(spark, folder), out).awaitTermination()
-    found = sorted(rows(live.current_quotes(spark, out), *CONTRACT, *COMPARED))
-    assert found == sorted(rows(_batch_state(spark, BATCHES), *CONTRACT, *COMPARED))
-    status = live.stream_status(live.current_quotes(spark, out), PARAMS).first()
-    assert (status.version, status.contracts, status.symbols) == (11, 8, 8)
+def _state(spark, batches):
+    state = _batch_state(spark, batches)
+    return sorted(rows(state, *CONTRACT, *COMPARED, "symbol", "bid_size"))
+
+
+def test_current_quotes_equal_the_batch_merge_after_every_batch(spark, tmp_path):
+    batches = [*BATCHES, [_message(15, "261001", "C", 4000, 121.0, 0.0)]]
+    folder = _land(tmp_path / "in", batches)
+    checkpoint = str(tmp_path / "checkpoint")
+    live.stream_merge(_stream(spark, folder), checkpoint).awaitTermination()
+    for n in range(4):
+        found = live.current_quotes(spark, checkpoint, n)
+        assert sorted(rows(found, *CONTRACT, *COMPARED, "symbol", "bid_size")) == _state(spark, batches[: n + 1])
+    status = live.stream_status(live.current_quotes(spark, checkpoint), PARAMS).first()
+    assert (status.version, status.contracts, status.symbols) == (12, 8, 8)
     assert (status.tickers_done, status.tickers_total) == (1, 1)
     assert status.last_update.hour == 10
-    earlier = live.current_quotes(spark, out, upto=0).agg({"n_updates": "sum"}).first()[0]
-    assert earlier == 8
 
 
-@pytest.mark.parametrize("scope, base_every", [("chain", 50), ("expiry", 2)])
+def _expected(spark, batches, scope, params=PARAMS, feed=None):
+    at = _batch_state(spark, batches).selectExpr("*", f"timestamp_ntz'{AT}' AS snapshot_time")
+    parity = parity_spot(at, scope) if scope else None
+    return sorted(rows(build_boxes(at, params, parity=parity, feed=feed)), key=str)
+
+
+@pytest.mark.parametrize("scope, base_every", [("chain", 50), ("expiry", 2), ("chain", 1)])
 def test_stream_boxes_equal_batch_boxes(spark, tmp_path, scope, base_every):
     folder = _land(tmp_path / "in", BATCHES)
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    out = str(tmp_path / "out")
 
     def run():
         stream_boxes(
             _stream(spark, folder), out, PARAMS, parity_scope=scope, as_of=AT,
-            base_every=base_every, checkpoint=checkpoint, availableNow=True,
+            base_every=base_every, availableNow=True,
         ).awaitTermination()
 
     run()
-    state = _batch_state(spark, BATCHES)
-    at = state.selectExpr("*", f"timestamp_ntz'{AT}' AS snapshot_time")
-    parity = parity_spot(at, scope) if scope else None
-    expected = build_boxes(at, PARAMS, parity=parity)
-    assert sorted(rows(latest_boxes(spark, out)), key=str) == sorted(rows(expected), key=str)
-    assert expected.count() == 2
-    rebuilt = spark.read.parquet(f"{out}/rebuilt").filter("batch_id = 1")
-    assert rebuilt.count() == (2 if scope == "chain" else 1)
-
+    assert sorted(rows(latest_boxes(spark, out)), key=str) == _expected(spark, BATCHES, scope)
+    assert len(_expected(spark, BATCHES, scope)) == 2
     # A restart goes on where the run ended.
     more = [[_message(20, "261001", "C", 4100, 61.0, 61.4)]]
     _land(tmp_path / "in", more)
     run()
-    state = _batch_state(spark, BATCHES + more)
-    at = state.selectExpr("*", f"timestamp_ntz'{AT}' AS snapshot_time")
-    parity = parity_spot(at, scope) if scope else None
-    expected = build_boxes(at, PARAMS, parity=parity)
-    assert sorted(rows(latest_boxes(spark, out)), key=str) == sorted(rows(expected), key=str)
+    assert sorted(rows(latest_boxes(spark, out)), key=str) == _expected(spark, BATCHES + more, scope)
+
+
+def _ladder(seq, strikes, shift=0.0):
+    """Quotes of one expiry in strict parity, 25 apart."""
+    messages = []
+    for i, strike in enumerate(strikes):
+        call = 2000.0 + shift - (strike - 4000) * 0.49
+        messages += [
+            _message(seq + 2 * i, "260702", "C", strike, call, call + 0.4),
+            _message(seq + 2 * i + 1, "260702", "P", strike, 1500.0 + (strike - 4000) * 0.5, 1500.4 + (strike - 4000) * 0.5),
+        ]
+    return messages
+
+
+def test_work_of_a_batch_follows_the_changed_strikes(spark, tmp_path):
+    strikes = [4000 + 25 * i for i in range(20)]
+    params = RateParams(max_strike_gap=1e9, max_abs_rate=1e9, min_volume=1)
+    batches = [
+        _ladder(0, strikes),
+        _ladder(100, strikes[3:4], shift=0.1),
+        [_message(200, "260702", "C", 4200, 0.0, 0.0, volume=3)],
+        _ladder(300, [strikes[0], strikes[-1]], shift=-0.1),
+        [_message(400 + i, "260702", "C", 4100, 0.0, 0.0, volume=-1) for i in range(1)],  # no longer liquid
+    ]
+    folder = _land(tmp_path / "in", batches)
+    out = str(tmp_path / "out")
+    stream_boxes(_stream(spark, folder), out, params, as_of=AT, availableNow=True).awaitTermination()
+    for n in range(len(batches)):
+        expected = _expected(spark, batches[: n + 1], "chain", params)
+        assert sorted(rows(latest_boxes(spark, out, n)), key=str) == expected
+    sizes = [spark.read.parquet(f"{out}/pairs/batch_id={n}").count() for n in range(len(batches))]
+    assert sizes == [190, 19, 19, 37, 0]
+    assert len(expected) == 171
+
+
+def test_older_folders_go_once_a_base_has_replaced_them(spark, tmp_path):
+    batches = [_ladder(10 * n, [4000, 4025 + 25 * n]) for n in range(7)]
+    folder = _land(tmp_path / "in", batches)
+    out = str(tmp_path / "out")
+    params = RateParams(max_abs_rate=1e9)
+    stream_boxes(_stream(spark, folder), out, params, as_of=AT, base_every=2, availableNow=True).awaitTermination()
+    assert sorted(rows(latest_boxes(spark, out)), key=str) == _expected(spark, batches, "chain", params)
+    for kind in ("pairs", "strikes", "parity", "stamps"):
+        assert {p.name for p in (tmp_path / "out" / kind).iterdir()} == {f"batch_id={n}" for n in (4, 5, 6)}
+    assert {p.name for p in (tmp_path / "out" / "base").iterdir()} == {"batch_id=3", "batch_id=5"}
+
+
+def test_spot_follows_the_market_between_batches(spark, tmp_path):
+    folder = _land(tmp_path / "in", BATCHES[:2])
+    out, landed = str(tmp_path / "out"), str(tmp_path / "spots")
+    schema = "ticker string, spot_time timestamp_ntz, spot_price double, seq bigint"
+    prices = [(AT, 4000.0), (AT + timedelta(minutes=1), 4100.0)]
+
+    def read():
+        # The feeder lands the second price after the first batch.
+        n = len(list((tmp_path / "spots").iterdir())) if (tmp_path / "spots").exists() else 0
+        row = [("SPX", *prices[n], n), ("SPX", AT + timedelta(days=9), 1.0, 9)]
+        spark.createDataFrame(row, schema).write.parquet(f"{landed}/{n}")
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(landed)
+
+    stream_boxes(
+        _stream(spark, folder), out, PARAMS, spots=read, as_of=lambda n: AT + timedelta(minutes=n), availableNow=True
+    ).awaitTermination()
+    for n in (0, 1):
+        found = latest_boxes(spark, out, n)
+        assert set(rows(found, "snapshot_time", "spot_price")) == {(AT + timedelta(minutes=n), prices[n][1])}
+    # October did not change in the second batch; its boxes carry the new time and spot too.
+    assert {r[0] for r in rows(found, "expiry")} == {"2026-07-02", "2026-10-01"}
 
 
 def test_chain_without_boxes_replaces_its_earlier_boxes(spark, tmp_path):
@@ -128,7 +196,7 @@ def test_seed_and_tracked(spark, tmp_path):
     stream_boxes(
         seeded, out, PARAMS, tracked=tracked, as_of=AT, availableNow=True
     ).awaitTermination()
-    current = live.current_quotes(spark, out)
+    current = live.current_quotes(spark, f"{out}/checkpoint")
     assert {r[0] for r in rows(current, "expiry")} == {"2026-07-02"}
     [call] = current.filter("strike = 4000 and option_type = 'call'").collect()
     # The live message has no open interest or mark: those stay as seeded.
