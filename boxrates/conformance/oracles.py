@@ -294,19 +294,23 @@ wanted AS (
   ) WHERE rn <= 2
 )"""
 
-# Items of landed pages: latest per symbol and page, positions in order of arrival.
+# Items of landed pages, positions in order of arrival; what a page of objects cannot hold
+# lies on a list page of its own.
 PAGED = """
 paged AS (
-  SELECT *, row_number() OVER (PARTITION BY ticker, page_no ORDER BY seq) - 1 AS position
+  SELECT * EXCLUDE (page_no), page,
+         row_number() OVER (PARTITION BY ticker, page ORDER BY seq) - 1 AS position
   FROM (
-    SELECT *, seq // 200 AS page_no, seq % 29 = 0 AS blank,
-           row_number() OVER (PARTITION BY ticker, seq // 200, symbol ORDER BY seq DESC) AS n
-    FROM q
+    SELECT *, CASE WHEN page_no % 4 < 2 AND (blank OR n > 1) THEN 4000000 + page_no * 4 + 3
+                   ELSE page_no END AS page
+    FROM (
+      SELECT *, row_number() OVER (PARTITION BY ticker, page_no, symbol, blank ORDER BY seq DESC) AS n
+      FROM (SELECT *, seq // 200 AS page_no, seq % 29 = 0 AS blank FROM q)
+    )
   )
-  WHERE n = 1 AND (NOT blank OR page_no % 4 >= 2)
 ),
 items AS (
-  SELECT ticker, page_no, page_no * 1048576 + position AS item_seq, seq AS event_seq, blank,
+  SELECT ticker, page AS page_no, page * 1048576 + position AS item_seq, seq AS event_seq, blank,
          CASE WHEN blank THEN '' ELSE expiry END AS expiry, strike, option_type, bid, ask, last,
          mark, volume, open_interest,
          CASE WHEN NOT blank AND seq % 4 = 1 THEN seq END AS bid_size,
@@ -327,6 +331,19 @@ tracked AS (
   SELECT heard.* FROM heard JOIN wanted USING (ticker, expiry) WHERE ticker <> 'VIX'
 )"""
 
+_STREAM_MERGE = """
+SELECT ticker, expiry, strike, option_type,
+       coalesce(arg_max(bid, seq) FILTER (bid <> 0), 0) AS bid,
+       coalesce(arg_max(ask, seq) FILTER (ask <> 0), 0) AS ask,
+       coalesce(arg_max(last, seq) FILTER (last <> 0), 0) AS last,
+       coalesce(arg_max(mark, seq) FILTER (mark <> 0), 0) AS mark,
+       coalesce(arg_max(volume, seq) FILTER (volume <> 0), 0) AS volume,
+       coalesce(arg_max(open_interest, seq) FILTER (open_interest <> 0), 0) AS open_interest,
+       arg_max(bid_size, seq) FILTER (bid_size IS NOT NULL) AS bid_size,
+       arg_max(ask_size, seq) FILTER (ask_size IS NOT NULL) AS ask_size,
+       count(*) AS n_updates
+FROM {source} GROUP BY ticker, expiry, strike, option_type"""
+
 STREAM_STATE = (EVENTS, HEARD, TRACKED.format(source="q"), STREAM_TRACKED)
 
 # Contracts of the collected snapshot, numbered as they lie on the pages.
@@ -338,14 +355,37 @@ numbered AS (
   SELECT ticker, expiry, snapshot_time, strike, option_type, bid, ask, last, mark, volume,
          open_interest,
          page_no * 1048576
-           + row_number() OVER (PARTITION BY ticker, page_no ORDER BY seq) - 1 AS seq
-  FROM (SELECT *, CAST(strike / 25 AS BIGINT) % 5 AS page_no FROM merged)
+           + row_number() OVER (PARTITION BY ticker, page_no, snapshot_time ORDER BY seq) - 1 AS seq
+  FROM (SELECT *, seq // 200 AS page_no FROM merged)
 )"""
 
+# Boxes of the earliest three expiries that each snapshot of a ticker lists.
+COLLECTED_BOXES = """
+listed AS (
+  SELECT DISTINCT ticker, snapshot_time, expiry,
+         dense_rank() OVER (PARTITION BY ticker, snapshot_time ORDER BY expiry) AS nth
+  FROM numbered
+)"""
+
+
+def _collected(quotes: str) -> str:
+    return _sql(
+        quotes,
+        MERGED.format(source="q"),
+        COLLECTED,
+        STRIKES,
+        PARITY.format(source="numbered", group=BY_TICKER),
+        BOXES.format(spot_keys=BY_TICKER),
+        COLLECTED_BOXES,
+        select=SCALE + " JOIN listed USING (ticker, snapshot_time, expiry) WHERE nth <= 3",
+    )
+
+
 _LEGACY = """
 wide AS (
-  SELECT lo.ticker, lo.expiry, lo.strike AS kl, hi.strike AS ks,
-         (lo.call_mid + hi.put_mid) - (lo.put_mid + hi.call_mid) AS cost
+  SELECT lo.ticker, lo.expiry, lo.strike * 200 AS kl, hi.strike * 200 AS ks,
+         (round(lo.call_mid * 200) + round(hi.put_mid * 200))
+           - (round(lo.put_mid * 200) + round(hi.call_mid * 200)) AS cost
   FROM k lo JOIN k hi USING (ticker, expiry, snapshot_time)
   WHERE lo.strike < hi.strike AND hi.strike - lo.strike <= 400
 )"""
@@ -447,10 +487,11 @@ FROM b""",
         STRIKES,
         _LEGACY,
         select="""
-SELECT ticker, expiry, kl, ks, round(cost, 6) AS net_cost,
-       round(abs(pow((ks - kl) / abs(cost), 2.0E0) - 1) * sign(cost), 6) AS implied_rate,
+SELECT ticker, expiry, kl, ks, cost AS net_cost,
+       CASE WHEN cost = 0 THEN 0 WHEN abs(rate) < 1000 THEN round(rate, 6) ELSE round(rate, 1) END
+         AS implied_rate,
        CASE WHEN cost > 0 THEN 'lend' WHEN cost < 0 THEN 'borrow' ELSE 'flat' END AS lend_borrow
-FROM wide WHERE abs(cost) > 0.005E0""",
+FROM (SELECT *, abs(pow((ks - kl) / abs(nullif(cost, 0)), 2.0E0) - 1) * sign(cost) AS rate FROM wide)""",
     ),
     "chain_items": _sql(
         EVENTS,
@@ -484,6 +525,9 @@ SELECT i.ticker, w.expiry, strike, option_type, bid, ask, symbol, item_seq AS se
 FROM items i JOIN wanted w ON i.ticker = w.ticker WHERE blank""",
     ),
     "snapshot_roundtrip": _boxes(BY_SUPPLIER, FULL),
+    "snapshot_files_parquet": _boxes(BY_SUPPLIER, FULL),
+    "snapshot_files_csv": _boxes(BY_SUPPLIER, FULL),
+    "snapshot_file_status": "SELECT CAST(5 AS BIGINT) AS file_count, true AS dated",
     "snapshot_history": _boxes(
         BY_SUPPLIER,
         f"""
@@ -509,21 +553,23 @@ WHERE snapshot_time IN (
 SELECT count(*) FILTER (snapshot_time = newest) AS rows, max(snapshot_time) AS last_snapshot
 FROM b, (SELECT max(snapshot_time) AS newest FROM b)""",
     ),
-    "stream_merge": _sql(
+    "stream_merge": _sql(EVENTS, HEARD, select=_STREAM_MERGE.format(source="heard")),
+    "stream_seeded": _sql(
         EVENTS,
         HEARD,
-        select="""
-SELECT ticker, expiry, strike, option_type,
-       coalesce(arg_max(bid, seq) FILTER (bid <> 0), 0) AS bid,
-       coalesce(arg_max(ask, seq) FILTER (ask <> 0), 0) AS ask,
-       coalesce(arg_max(last, seq) FILTER (last <> 0), 0) AS last,
-       coalesce(arg_max(mark, seq) FILTER (mark <> 0), 0) AS mark,
-       coalesce(arg_max(volume, seq) FILTER (volume <> 0), 0) AS volume,
-       coalesce(arg_max(open_interest, seq) FILTER (open_interest <> 0), 0) AS open_interest,
-       arg_max(bid_size, seq) FILTER (bid_size IS NOT NULL) AS bid_size,
-       arg_max(ask_size, seq) FILTER (ask_size IS NOT NULL) AS ask_size,
-       count(*) AS n_updates
-FROM heard GROUP BY ticker, expiry, strike, option_type""",
+        """
+seeded AS (
+  SELECT q.* EXCLUDE (seq), q.seq - 4611686018427387904 AS seq
+  FROM q JOIN events ON q.seq = event_id WHERE event_type = 'view'
+),
+both_ AS (
+  SELECT ticker, expiry, strike, option_type, bid, ask, last, mark, volume, open_interest,
+         bid_size, ask_size, seq FROM heard
+  UNION ALL
+  SELECT ticker, expiry, strike, option_type, bid, ask, last, mark, volume, open_interest,
+         NULL, NULL, seq FROM seeded
+)""",
+        select=_STREAM_MERGE.format(source="both_"),
     ),
     "stream_boxes": _sql(
         *STREAM_STATE,
@@ -543,15 +589,8 @@ SELECT count(*) AS version, max(snapshot_time) AS last_update,
        count(DISTINCT ticker) AS tickers_done, CAST(3 AS BIGINT) AS tickers_total
 FROM tracked""",
     ),
-    "collect_snapshot": _sql(
-        EVENTS,
-        MERGED.format(source="q"),
-        COLLECTED,
-        STRIKES,
-        PARITY.format(source="numbered", group=BY_TICKER),
-        BOXES.format(spot_keys=BY_TICKER),
-        select=SCALE + " WHERE expiry <> '2024-09-20'",
-    ),
+    "collect_snapshot": _collected(EVENTS_DAILY),
+    "collect_scheduled": _collected(EVENTS),
     "rate_curve": _event_boxes(
         "SELECT mid_strike, round(mid_rate * 100, 6) AS rate_pct, width FROM b"
         " WHERE expiry = '2024-07-19'"

@@ -7,7 +7,7 @@ six decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,10 @@ HISTORY_MINUTES = 60 * 24 * 365
 # Items of a landed page, and pages of a stream of items.
 PAGE_EVENTS = 200
 
+HALF_CENTS = 200
+# Pages from this number on hold what a page of objects cannot.
+LIST_PAGES = 4_000_000
+
 CONTRACT_IN_CHAIN = [*CHAIN, "strike", "option_type"]
 
 
@@ -277,22 +281,28 @@ def boxes_daily(spark, sf_dir):
 
 
 def legacy_box(spark, sf_dir):
-    """Wide rows: all pairs of a chain's strikes with the mids of their four legs."""
+    """Wide rows: all pairs of a chain's strikes with the mids of their four legs.
+
+    Everything is counted in half cents, so that costs are whole numbers and a box that
+    costs nothing costs exactly nothing.
+    """
     chain = strikes.latest_strikes(_updates(spark, sf_dir))
-    legs = chain.select(*CHAIN, "strike", "call_mid", "put_mid")
+    legs = chain.select(*CHAIN, "strike", *[F.round(F.col(f"{s}_mid") * HALF_CENTS).alias(f"{s}_mid") for s in ("call", "put")])
     pairs = strike_pairs(legs, CHAIN, max_gap=400.0).select(
         "ticker",
         "expiry",
-        F.col("strike_kl").alias("kl"),
-        F.col("strike_ks").alias("ks"),
+        (F.col("strike_kl") * HALF_CENTS).alias("kl"),
+        (F.col("strike_ks") * HALF_CENTS).alias("ks"),
         F.col("call_mid_kl").alias("call_kl"),
         F.col("call_mid_ks").alias("call_ks"),
         F.col("put_mid_kl").alias("put_kl"),
         F.col("put_mid_ks").alias("put_ks"),
     )
     boxes = wide.box_records(wide.box_from_legs(pairs, tte=0.5))
-    # A cost of a fraction of a cent is a box priced at its payoff to rounding error.
-    return _rounded(boxes.filter(F.abs("net_cost") > 0.005), "net_cost", "implied_rate")
+    rate = F.col("implied_rate")
+    # Of a box that costs next to nothing, fewer decimals are significant.
+    shown = F.when(F.abs(rate) < 1000, F.round(rate, 6)).otherwise(F.round(rate, 1))
+    return boxes.withColumn("implied_rate", shown)
 
 
 # --- views --------------------------------------------------------------------
@@ -406,14 +416,19 @@ def expiry_timestamp(spark, sf_dir):
 
 
 def _page_items(spark, sf_dir) -> DataFrame:
-    """Event quotes as raw chain items, in four notations, latest per symbol and page.
+    """Event quotes as raw chain items, in four notations.
 
-    One in 29 is a blank: an item that tells neither symbol nor expiry.
+    One in 29 is a blank: an item that tells neither symbol nor expiry. On pages that are
+    objects a symbol can occur once and a blank not at all, so repeats and blanks of
+    theirs lie on pages of their own, which are lists.
     """
     page = F.floor(F.col("seq") / PAGE_EVENTS)
     rows = _updates(spark, sf_dir).withColumns({"page_no": page, "blank": F.col("seq") % 29 == 0})
-    latest = Window.partitionBy("ticker", "page_no", "symbol").orderBy(F.col("seq").desc())
-    rows = rows.withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") == 1)
+    again = Window.partitionBy("ticker", "page_no", "symbol", "blank").orderBy(F.col("seq").desc())
+    rows = rows.withColumn("_n", F.row_number().over(again))
+    other = (F.col("page_no") % 4 < 2) & (F.col("blank") | (F.col("_n") > 1))
+    list_page = F.lit(LIST_PAGES) + F.col("page_no") * 4 + 3
+    rows = rows.withColumn("page_no", F.when(other, list_page).otherwise(F.col("page_no")))
 
     def text(column: Column) -> Column:
         return column.cast("string")
@@ -493,8 +508,6 @@ def _page_items(spark, sf_dir) -> DataFrame:
 def _pages(spark, sf_dir) -> DataFrame:
     """Landed documents of at most ``PAGE_EVENTS`` items, in four kinds of envelope."""
     items = _page_items(spark, sf_dir)
-    # Only a list can hold an item without a symbol.
-    items = items.filter(~F.col("blank") | (F.col("page_no") % 4 >= 2))
     pages = items.groupBy("ticker", "page_no", "snapshot_time").agg(
         F.sort_array(F.collect_list(F.struct("seq", "symbol", "item"))).alias("_items")
     )
@@ -554,12 +567,14 @@ def underlying_price_docs(spark, sf_dir):
 
 
 def collected_snapshot(spark, sf_dir):
-    return _scale(collect_snapshot(_unique_pages(spark, sf_dir), PARAMS))
+    """One snapshot a day, all of them collected together."""
+    updates = quotes_from_events(_events(spark, sf_dir), daily=True)
+    return _scale(collect_snapshot(_unique_pages(updates), PARAMS))
 
 
-def _unique_pages(spark, sf_dir) -> DataFrame:
-    """As ``_pages``, of the merged quotes: each contract on one page only."""
-    merged = quotes.merge_updates(_updates(spark, sf_dir), CONTRACT_IN_CHAIN)
+def _unique_pages(updates: DataFrame) -> DataFrame:
+    """As ``_pages``, of merged quotes: each contract on one page of its snapshot only."""
+    merged = quotes.merge_updates(updates, CONTRACT_IN_CHAIN)
     item = F.to_json(
         F.struct(
             F.struct(F.col("bid").alias("bp"), F.col("ask").alias("ap")).alias("latestQuote"),
@@ -568,7 +583,7 @@ def _unique_pages(spark, sf_dir) -> DataFrame:
             *quotes.COUNT_FIELDS,
         )
     )
-    page = (F.col("strike") / 25).cast("bigint") % 5
+    page = F.floor(F.col("seq") / PAGE_EVENTS)
     pages = (
         merged.withColumns({"page_no": page, "item": item})
         .groupBy("ticker", "page_no", "snapshot_time")
@@ -581,13 +596,30 @@ def _unique_pages(spark, sf_dir) -> DataFrame:
     return pages.select("ticker", "page_no", "snapshot_time", document.alias("document"))
 
 
+def collect_scheduled(spark, sf_dir):
+    """Pages without a time, landed in three files that are collected one after the other."""
+    pages = _unique_pages(_updates(spark, sf_dir)).drop("snapshot_time")
+    landed, path = work_dir(spark, "landed"), work_dir(spark, "collected")
+    pages.repartitionByRange(3, "page_no").write.json(landed)
+    query = live.collect_on_schedule(
+        spark, landed, path, PARAMS, as_of=datetime.fromisoformat(EVENT_SNAPSHOT), max_files=1,
+        trigger={"availableNow": True},
+    )
+    query.awaitTermination()
+    return _scale(snapshots.scan_snapshots(spark, path, missing_ok=True))
+
+
 # --- snapshots ----------------------------------------------------------------
 
 
-def _stored(spark, sf_dir) -> DataFrame:
+def _stored_path(spark, sf_dir) -> str:
     path = work_dir(spark, "snapshots")
     snapshots.write_snapshot(_supplier_boxes(spark, sf_dir), path)
-    return snapshots.scan_snapshots(spark, path)
+    return path
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    return snapshots.scan_snapshots(spark, _stored_path(spark, sf_dir), missing_ok=True)
 
 
 def snapshot_roundtrip(spark, sf_dir):
@@ -595,23 +627,58 @@ def snapshot_roundtrip(spark, sf_dir):
 
 
 def snapshot_history(spark, sf_dir):
-    recent = snapshots.recent_snapshots(
-        _stored(spark, sf_dir), as_of=AS_OF, minutes=HISTORY_MINUTES
-    )
+    path = _stored_path(spark, sf_dir)
+    recent = snapshots.recent_history(spark, path, as_of=AS_OF, minutes=HISTORY_MINUTES)
     return recent.select(*CHAIN, "kl", "ks")
 
 
 def snapshot_retained(spark, sf_dir):
-    kept = snapshots.retained_snapshots(_stored(spark, sf_dir), PARAMS.max_snapshots_retained)
+    path = _stored_path(spark, sf_dir)
+    kept = snapshots.retained_history(spark, path, PARAMS.max_snapshots_retained)
     return kept.select(*CHAIN, "kl", "ks")
 
 
 def snapshot_status(spark, sf_dir):
-    return snapshots.table_status(_stored(spark, sf_dir))
+    return snapshots.history_status(spark, _stored_path(spark, sf_dir))
 
 
 def collector_status(spark, sf_dir):
-    return snapshots.collector_status(_stored(spark, sf_dir))
+    return snapshots.collector_progress(spark, _stored_path(spark, sf_dir))
+
+
+FOREIGN_FILES = 5
+
+
+def _foreign_path(spark, sf_dir, fmt: str) -> str:
+    """Boxes as another program would write them: no moneyness, NaN for what is missing, time as text."""
+    boxes = _supplier_boxes(spark, sf_dir).drop(*MONEYNESS, "snapshot_date")
+    nan = F.lit(float("nan"))
+    missing = {c: F.coalesce(c, nan) for c in ("lend_rate", "borrow_rate", "spot_price")}
+    foreign = boxes.withColumns({**missing, "snapshot_time": F.date_format("snapshot_time", "yyyy-MM-dd'T'HH:mm:ss")})
+    path = work_dir(spark, "foreign")
+    files = foreign.select(*reversed(foreign.columns)).repartition(FOREIGN_FILES, "ticker")
+    files.write.option("header", True).option("nanValue", "NaN").format(fmt).save(path)
+    return path
+
+
+def _foreign(spark, sf_dir, fmt: str) -> DataFrame:
+    path = _foreign_path(spark, sf_dir, fmt)
+    now = datetime.now(UTC) + timedelta(days=1)
+    return _full(snapshots.read_snapshot_files(spark, path, as_of=now, minutes=60 * 48, name="part-*"))
+
+
+def snapshot_files_parquet(spark, sf_dir):
+    return _foreign(spark, sf_dir, "parquet")
+
+
+def snapshot_files_csv(spark, sf_dir):
+    return _foreign(spark, sf_dir, "csv")
+
+
+def snapshot_file_status(spark, sf_dir):
+    path = _foreign_path(spark, sf_dir, "parquet")
+    status = snapshots.snapshot_file_status(spark, path, name="part-*")
+    return status.select("file_count", F.col("latest_mtime").isNotNull().alias("dated"))
 
 
 # --- streams ------------------------------------------------------------------
@@ -655,18 +722,22 @@ def stream_quotes(spark, sf_dir):
     return parsed.drop("snapshot_time")
 
 
-def _live_quotes(spark, sf_dir) -> DataFrame:
-    """The events table as a stream: messages parsed as they arrive."""
-    schema = _events(spark, sf_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return quotes_from_messages(_message(quotes_from_events(reader.parquet(sf_dir))))
+STREAM_BATCHES = 4
 
 
-def stream_merge(spark, sf_dir):
-    path = work_dir(spark, "merge")
-    live.stream_merge(_live_quotes(spark, sf_dir), path).awaitTermination()
-    current = live.current_quotes(spark, path)
-    return current.select(
+def _live_quotes(spark, sf_dir) -> DataFrame:
+    """The events table as a stream of several micro-batches: messages parsed as they arrive."""
+    events = _events(spark, sf_dir)
+    landed = work_dir(spark, "events")
+    events.repartitionByRange(STREAM_BATCHES, "event_id").write.parquet(landed)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return quotes_from_messages(_message(quotes_from_events(reader.parquet(landed))))
+
+
+def _merged_stream(spark, live_quotes: DataFrame) -> DataFrame:
+    checkpoint = work_dir(spark, "merge")
+    live.stream_merge(live_quotes, checkpoint).awaitTermination()
+    return live.current_quotes(spark, checkpoint).select(
         "ticker",
         "expiry",
         "strike",
@@ -678,6 +749,17 @@ def stream_merge(spark, sf_dir):
     )
 
 
+def stream_merge(spark, sf_dir):
+    return _merged_stream(spark, _live_quotes(spark, sf_dir))
+
+
+def stream_seeded(spark, sf_dir):
+    """Quotes of the viewed events are the chain that the stream starts from."""
+    seed = work_dir(spark, "seed")
+    live.seed_quotes(quotes_from_events(_events(spark, sf_dir).filter("event_type = 'view'")), seed)
+    return _merged_stream(spark, live.with_seed(_live_quotes(spark, sf_dir), seed))
+
+
 def _run_stream(spark, sf_dir) -> str:
     path = work_dir(spark, "live")
     tracked = staged(_tracked(_updates(spark, sf_dir)), "tracked")
@@ -700,9 +782,8 @@ def stream_boxes(spark, sf_dir):
 
 
 def stream_status(spark, sf_dir):
-    return live.stream_status(
-        live.current_quotes(spark, _run_stream(spark, sf_dir)), PARAMS
-    )
+    checkpoint = f"{_run_stream(spark, sf_dir)}/checkpoint"
+    return live.stream_status(live.current_quotes(spark, checkpoint), PARAMS)
 
 
 QUERIES: dict[str, Query] = {
@@ -732,10 +813,15 @@ QUERIES: dict[str, Query] = {
     "snapshot_retained": snapshot_retained,
     "snapshot_status": snapshot_status,
     "collector_status": collector_status,
+    "snapshot_files_parquet": snapshot_files_parquet,
+    "snapshot_files_csv": snapshot_files_csv,
+    "snapshot_file_status": snapshot_file_status,
     "stream_merge": stream_merge,
+    "stream_seeded": stream_seeded,
     "stream_boxes": stream_boxes,
     "stream_status": stream_status,
     "collect_snapshot": collected_snapshot,
+    "collect_scheduled": collect_scheduled,
     "rate_curve": rate_curve,
     "term_structure": term_structure,
     "term_structure_pooled": term_structure_pooled,

@@ -15,6 +15,9 @@ from boxrates.operators.quantiles import group_quantiles
 HEATMAP_CELLS = 2000
 HEATMAP_SEED = 42
 
+# Size of a rate sketch; ranks err by about 2.3 / SKETCH_K ** 0.9 of the rows at most.
+SKETCH_K = 400
+
 TOP_COLUMNS = [
     "ticker",
     "expiry",
@@ -59,6 +62,55 @@ def term_structure(
     return stats.select(*by, *rates, "n").orderBy(*by)
 
 
+def rate_sketches(
+    boxes: DataFrame, by: Sequence[str] = ("ticker", "expiry"), *, k: int = SKETCH_K
+) -> DataFrame:
+    """A mergeable summary of the mid rates per snapshot and ``by``: count, sum and KLL sketch.
+
+    A few kilobytes for any number of boxes. Stored beside each snapshot, they give term
+    structures over any part of the history without reading a box again.
+    """
+    rated = boxes.filter(F.col("mid_rate").isNotNull())
+    return rated.groupBy("snapshot_time", *by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("mid_rate").alias("total"),
+        F.kll_sketch_agg_double("mid_rate", F.lit(k)).alias("sketch"),
+    )
+
+
+def sketch_error(k: int = SKETCH_K) -> float:
+    """Bound on the error of a sketch's rank, as a share of the rows, with 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
+def term_structure_of_sketches(
+    sketches: DataFrame, by: Sequence[str] = ("ticker", "expiry"), *, k: int = SKETCH_K
+) -> DataFrame:
+    """As ``term_structure``, from merged sketches of any snapshots; ``by`` may be coarser than theirs.
+
+    ``n`` and the mean are exact. Median and quartiles are rates that occur, at a rank within
+    ``rank_error`` (a share of ``n``) of the exact one.
+    """
+    merged = sketches.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.sum("total").alias("_total"),
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("_sketch"),
+    )
+
+    def at(rank: float):
+        return percent(F.kll_sketch_get_quantile_double("_sketch", F.lit(rank)))
+
+    return merged.select(
+        *by,
+        at(0.5).alias("median_pct"),
+        percent(F.col("_total") / F.col("n")).alias("mean_pct"),
+        at(0.25).alias("q25_pct"),
+        at(0.75).alias("q75_pct"),
+        "n",
+        F.lit(sketch_error(k)).alias("rank_error"),
+    ).orderBy(*by)
+
+
 def heatmap_cells(boxes: DataFrame, expiry: str | None = None) -> DataFrame:
     """Mean mid rate of each strike pair, unordered and complete."""
     return at_expiry(boxes, expiry).groupBy("kl", "ks").agg(F.avg("mid_rate").alias("rate"))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxrates.operators.asof import spot_as_of
 from boxrates.operators.boxes import build_boxes
 from boxrates.operators.normalise import quotes_from_items
 from boxrates.operators.quotes import expiries_per_ticker, parity_spot, quotes_for_expiries
@@ -23,17 +24,20 @@ def collect_snapshot(
     *,
     as_of: datetime | None = None,
     price_documents: DataFrame | None = None,
+    spots: DataFrame | None = None,
     parity_scope: str | None = "chain",
     stage: bool = True,
 ) -> DataFrame:
     """Boxes of the collected chains.
 
     ``pages`` holds ``ticker, page_no, document`` and, when it spans many snapshots,
-    ``snapshot_time``; otherwise all of it is of time ``as_of`` (UTC, naive). Of each
+    ``snapshot_time``; pages without one are of time ``as_of`` (UTC, naive), and an error
+    where that is not given. Of each
     chain the earliest ``params.expiries_per_ticker`` expiries are used; without ``params``,
     all expiries of all tickers. The spot
-    comes from ``price_documents``, else from put-call parity over the whole chain
-    (``parity_scope=None`` turns that off).
+    comes from ``price_documents``, or else is the last price at the snapshot's time of the
+    history ``spots`` (as ``spot_as_of`` takes it); where neither knows the ticker, it comes
+    from put-call parity over the whole chain (``parity_scope=None`` turns that off).
 
     The documents are parsed once: ``stage`` writes the quotes to the work folder,
     because expiries, parity and boxes each read them.
@@ -42,6 +46,10 @@ def collect_snapshot(
         if as_of is None:
             raise ValueError("as_of is needed for pages without snapshot_time")
         pages = pages.withColumn("snapshot_time", utc(as_of))
+    else:
+        # A page without a time would vanish in the joins below.
+        otherwise = utc(as_of) if as_of else F.raise_error(F.lit("a page has no snapshot_time")).cast("timestamp_ntz")
+        pages = pages.withColumn("snapshot_time", F.coalesce("snapshot_time", otherwise))
     if params.tickers:
         pages = pages.filter(F.col("ticker").isin(*params.tickers))
 
@@ -51,7 +59,11 @@ def collect_snapshot(
     chains = expiries_per_ticker(
         quotes, params.expiries_per_ticker, by=("ticker", "snapshot_time")
     )
-    feed = underlying_price(price_documents) if price_documents is not None else None
+    feed = None
+    if price_documents is not None:
+        feed = underlying_price(price_documents)
+    elif spots is not None:
+        feed = spot_as_of(quotes, spots)
     parity = None
     if parity_scope is not None:
         parity = parity_spot(quotes.filter(F.col("expiry") != ""), parity_scope)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ from boxrates.params import ALL, RateParams
 from boxrates.plans.collect import run_collection
 from boxrates.schema import BOXES, CONTRACT, QUOTES, conform, utc
 from boxrates.session import work_dir
-from boxrates.sources.paths import complete_batches, delete
+from boxrates.sources.paths import complete_batches, delete, matching
 
 LOGGER = logging.getLogger(__name__)
 
@@ -365,23 +366,32 @@ def stream_status(current: DataFrame, params: RateParams = RateParams()) -> Data
     )
 
 
-def _keep_pages(landed: DataFrame, kept: str, batch_id: int) -> set[datetime | None]:
-    """Keep the pages of a batch; returns the times of their snapshots."""
-    folder = f"{kept}/batch_id={batch_id}"
-    landed.write.mode("overwrite").partitionBy("snapshot_time").parquet(folder)
-    written = landed.sparkSession.read.schema(PAGES).parquet(folder)
-    return {row[0] for row in written.select("snapshot_time").distinct().collect()}
+def _keep_pages(landed: DataFrame, kept: str, batch_id: int, stamp: datetime) -> set[datetime]:
+    """Keep the pages of a batch, by snapshot; returns the times of their snapshots.
+
+    Pages without a time are of time ``stamp``.
+    """
+    timed = landed.withColumn("snapshot_time", F.coalesce("snapshot_time", utc(stamp))).withColumn(
+        "batch_id", F.lit(batch_id).cast("bigint")
+    )
+    folders = ["snapshot_time", "batch_id"]
+    writer = timed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*folders).parquet(kept)
+    spark = landed.sparkSession
+    return {time for time, folder in _kept_times(spark, kept) if matching(spark, f"{folder}/batch_id={batch_id}")}
 
 
-def _kept_pages(spark: SparkSession, kept: str, times: set, upto: int) -> DataFrame:
-    """All pages of the snapshots ``times``, each as it landed last."""
-    pages = spark.read.schema(f"{PAGES}, batch_id bigint").option("basePath", kept).parquet(kept)
-    time = F.col("snapshot_time")
-    wanted = time.isin(*[utc(t) for t in times if t is not None])
-    if None in times:
-        wanted = wanted | time.isNull()
+def _kept_times(spark: SparkSession, kept: str) -> list[tuple[datetime, str]]:
+    folders = matching(spark, f"{kept}/snapshot_time=*")
+    return [(datetime.fromisoformat(unquote(f.rsplit("=", 1)[1])), f) for f in folders]
+
+
+def _kept_pages(spark: SparkSession, kept: str, times: set[datetime], upto: int) -> DataFrame:
+    """All pages of the snapshots ``times``, each as it landed last. Other snapshots are not listed."""
+    folders = [folder for time, folder in _kept_times(spark, kept) if time in times]
+    pages = spark.read.schema(f"{PAGES}, batch_id bigint").option("basePath", kept).parquet(*folders)
     page = Window.partitionBy("snapshot_time", "ticker", "page_no")
-    last = pages.filter(wanted & (F.col("batch_id") <= upto)).withColumn("_last", F.max("batch_id").over(page))
+    last = pages.filter(F.col("batch_id") <= upto).withColumn("_last", F.max("batch_id").over(page))
     return last.filter(F.col("batch_id") == F.col("_last")).drop("_last", "batch_id")
 
 
@@ -391,26 +401,36 @@ def collect_on_schedule(
     path: str,
     params: RateParams = ALL,
     *,
+    as_of: datetime | None = None,
+    max_files: int | None = None,
     checkpoint: str | None = None,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Collect newly landed chain pages at the configured interval.
 
+    Pages that bear no ``snapshot_time`` are of time ``as_of``, or of the time of their batch.
+    ``max_files`` bounds the files of a batch.
+
     A collection that fails is logged and ends the query before its batch is committed, so
     the next start from the same ``checkpoint`` reads its pages again. Pages are kept below
     the checkpoint: a snapshot whose pages land in several batches is rebuilt from all of
     them, and a page that lands again replaces the earlier one.
     """
-    pages = spark.readStream.schema(PAGES).json(pages_path)
+    reader = spark.readStream.schema(PAGES)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    pages = reader.json(pages_path)
     checkpoint = checkpoint or work_dir(spark, "collect")
     kept = f"{checkpoint}/landed"
 
     def on_batch(landed: DataFrame, batch_id: int) -> None:
         try:
-            times = _keep_pages(landed, kept, batch_id)
-            whole = _kept_pages(spark, kept, times, batch_id)
-            run_collection(spark, whole, path, params, replaced=times - {None}, **options)
+            stamp = as_of or datetime.now(UTC).replace(tzinfo=None, microsecond=0)
+            times = _keep_pages(landed, kept, batch_id, stamp)
+            if times:
+                whole = _kept_pages(spark, kept, times, batch_id)
+                run_collection(spark, whole, path, params, replaced=times, **options)
         except Exception:
             LOGGER.exception("collection of batch %d failed", batch_id)
             raise

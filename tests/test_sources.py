@@ -246,7 +246,7 @@ def _boxes(spark, *times):
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_snapshot_table(spark, tmp_path, fmt):
     path = str(tmp_path / "t")
-    assert snapshots.scan_snapshots(spark, path, fmt).count() == 0
+    assert snapshots.scan_snapshots(spark, path, fmt, missing_ok=True).count() == 0
     times = [AT + timedelta(minutes=m, seconds=30) for m in range(6)]
     snapshots.write_snapshot(_boxes(spark, *times), path, fmt)
     snapshots.write_snapshot(_boxes(spark, times[2], times[2]), path, fmt)
@@ -307,7 +307,10 @@ def test_foreign_files(spark, tmp_path):
     now = datetime.now(UTC)
     status = snapshots.snapshot_file_status
     assert rows(status(spark, str(tmp_path / "absent"))) == [(0, None)]
-    assert snapshots.read_snapshot_files(spark, str(tmp_path / "absent"), as_of=now).count() == 0
+    absent = str(tmp_path / "absent")
+    assert snapshots.read_snapshot_files(spark, absent, as_of=now, missing_ok=True).count() == 0
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        snapshots.read_snapshot_files(spark, absent, as_of=now)
     folder = tmp_path / "s"
     folder.mkdir()
     assert rows(status(spark, str(folder))) == [(0, None)]
