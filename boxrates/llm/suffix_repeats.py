@@ -15,8 +15,10 @@ serves are neighbours and make a segment.
    interval the suffixes are compared by what lies left of them: where left extensions stop
    agreeing a repeat is maximal, and a member's longest extensions tell which of its bytes
    any other occurrence shares.
-4. Classes of very many distinct segments are not gathered. Their strings of ``length`` bytes
-   are counted one by one instead, which is exact as well.
+4. Classes of very many distinct segments are not gathered. The strings that they could share
+   are halved by where the anchor lies in them, and members meet again only with those that
+   equal them in all that every string of a half must hold, and so on. A class that stays
+   crowded ends with members that share one whole string, so nothing is left to compare.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from boxrates.llm.common import stored, text_of
 
 LENGTH = 400
-MANY = 500  # distinct segments of a class that one task takes
+MANY = 4096  # distinct segments of a class that one task takes
 GRAM = 24
-_BITS = 20
+_BITS = 18
 _BLOCK = 1 << _BITS  # bytes that are hashed at once; a place has this many bits
 
 SEGMENT = (
@@ -291,6 +293,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("bytes"))
 
 
+def _halved(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Crowded classes cut in two, and spans of segments whose half equals another one's.
+
+    A class holds strings whose anchor lies between ``x`` and ``y`` bytes from their start, so
+    they share ``x`` bytes before it and ``length - y`` from it on.
+    """
+    middle = F.floor((F.col("x") + F.col("y")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("y")))
+    rows = rows.filter("x < y").withColumn("half", F.explode(halves))
+    rows = rows.withColumns(
+        {
+            "x": F.col("half.x"),
+            "y": F.col("half.y"),
+            "near": F.greatest(F.col("half.x"), F.col("a") - F.col("e")),
+            "far": F.least(F.col("half.y"), F.col("a") - F.col("s")),
+        }
+    ).filter("near <= far")
+    rows = rows.select(
+        "digest",
+        (F.col("a") - F.col("far")).alias("s"),
+        "a",
+        (F.col("a") - F.col("near")).alias("e"),
+        "n",
+        F.expr("substring(left, octet_length(left) - far + 1, far)").alias("left"),
+        F.expr(f"substring(right, 1, {length} - near)").alias("right"),
+        "x",
+        "y",
+    )
+    shared = F.expr(f"concat(substring(left, octet_length(left) - x + 1, x), substring(right, 1, {length} - y))")
+    whole = F.unhex(F.sha2(F.concat("left", "right"), 256))
+    rows = rows.withColumns({"h": F.xxhash64("x", "y", shared), "f": whole, "at": F.octet_length("left")})
+    rows = stored(rows, "halves")
+    kinds = rows.groupBy("h", "f", "at").agg(F.sum("n").alias("copies"))
+    classes = kinds.groupBy("h").agg(F.count("*").alias("distinct"), F.count_if(F.col("copies") == 1).alias("single"))
+    kinds = kinds.join(classes.filter("distinct > 1 or single = 0"), "h")
+    rows = stored(rows.join(kinds, ["h", "f", "at"]), "halves")
+    end = (F.col("e") + length).cast("int")
+    same = rows.filter("n = 1 and copies > 1").select("digest", F.col("s").alias("lo"), end.alias("hi"))
+    # Of equal halves one goes on, known to have copies.
+    giver = F.min(F.struct("digest", "s", "a", "e", "left", "right", "x", "y", "distinct")).alias("g")
+    rows = rows.filter("distinct > 1 and single > 0").groupBy("h", "f", "at").agg(giver, F.max("copies").alias("n"))
+    return stored(rows.select("h", "n", "g.*"), "classes"), same
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """``digest, spans``: for each distinct text with repeats the byte spans that they cover.
 
@@ -333,19 +379,22 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, many: int = MANY) -
         F.expr(f"substring(bytes, w.a + 1, w.e + {length} - w.a)").alias("right"),
     )
     rows = stored(rows, "classes")
-    small = rows.filter(F.col("distinct") <= many).repartition("h").sortWithinPartitions("h", "right")
-    found = small.mapInArrow(_classes(length), "digest binary, lo int, hi int")
-
-    large = rows.filter(F.col("distinct") > many)
-    place = F.explode(F.sequence(F.lit(0), F.col("e") - F.col("s"))).alias("i")
-    large = large.select("digest", "s", "n", F.concat("left", "right").alias("b"), place)
-    key = F.unhex(F.sha2(F.expr(f"substring(b, i + 1, {length})"), 256)).alias("key")
-    large = large.select("digest", "n", (F.col("s") + F.col("i")).alias("lo"), key)
-    often = large.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("key")
-    counted_one_by_one = large.filter("n = 1").join(often, "key", "left_semi")
-    counted_one_by_one = counted_one_by_one.select("digest", "lo", (F.col("lo") + length).cast("int").alias("hi"))
-
-    spans = full.unionByName(local).unionByName(found).unionByName(counted_one_by_one)
+    scan, parts = _classes(length), []
+    crowded = rows.withColumns({"x": F.lit(0), "y": F.lit(window_of(length) - 1)})
+    while True:
+        small = crowded.filter(F.col("distinct") <= many)
+        small = small.repartition("h").sortWithinPartitions("h", "right")
+        parts.append(small.mapInArrow(scan, "digest binary, lo int, hi int"))
+        crowded = crowded.filter(F.col("distinct") > many)
+        if crowded.isEmpty():
+            break
+        crowded, same = _halved(crowded, length)
+        parts.append(same)
+
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    spans = full.unionByName(local).unionByName(found)
     spans = spans.groupBy("digest", "lo").agg(F.max("hi").alias("hi"))
     return spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
