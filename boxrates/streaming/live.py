@@ -19,7 +19,6 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from urllib.parse import unquote
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,6 +147,11 @@ def _start(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _scratch(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stream_merge(
     quotes: DataFrame, checkpoint: str, *, name: str | None = None, **trigger
 ) -> StreamingQuery:
@@ -172,12 +176,20 @@ def delta_pairs(legs: DataFrame, moved: DataFrame, params: RateParams) -> DataFr
     Changed strikes meet all upper strikes of their chain, and the others as lower strikes
     meet changed ones: work linear in the chain for each changed strike.
     """
-    gaps = {"min_gap": params.min_strike_gap, "max_gap": params.max_strike_gap}
-    changed = legs.join(moved, STRIKE, "left_semi")
-    others = legs.join(moved, STRIKE, "left_anti")
-    up = pairs_between(changed, legs, CHAIN_NOW, **gaps)
-    down = pairs_between(others, changed, CHAIN_NOW, **gaps)
-    priced = box_leg_volumes(box_prices(up.unionByName(down)))
+    marked = legs.join(moved.withColumn("_moved", F.lit(True)), STRIKE, "left")
+    moved_too = F.col("_moved").isNotNull()
+    # One join for both: changed strikes look among all, the others among the changed ones.
+    lower = marked.withColumn("_among", F.when(moved_too, 0).otherwise(1)).drop("_moved")
+    places = F.when(moved_too, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    upper = marked.withColumn("_among", F.explode(places)).drop("_moved")
+    pairs = pairs_between(
+        lower,
+        upper.select(*lower.columns),
+        [*CHAIN_NOW, "_among"],
+        min_gap=params.min_strike_gap,
+        max_gap=params.max_strike_gap,
+    )
+    priced = box_leg_volumes(box_prices(pairs))
     # No time to expiry and no spot makes a box of a pair whose mid price is out of bounds.
     return conform(priced.filter("mid_cost > 0 AND mid_cost < payoff"), PAIRS)
 
@@ -227,17 +239,19 @@ def stream_boxes(
 
     def on_batch(changed: DataFrame, batch_id: int) -> None:
         stamp = as_of(batch_id) if callable(as_of) else as_of or datetime.now(UTC).replace(tzinfo=None)
-        # Kept, as reading it again would run the merge again.
-        changed = changed.persist(StorageLevel.DISK_ONLY)
+        # Written first: read again, it would run the merge again, and without adaptive plans.
+        scratch = f"{path}/scratch/{batch_id}"
+        changed.write.mode("overwrite").parquet(scratch)
+        changed = spark.read.schema(changed.schema).parquet(scratch)
         now = changed
         if batch_id > 0:
             before = current_quotes(spark, checkpoint, batch_id - 1)
             touched = changed.select(*unit).distinct()
             unchanged = before.join(changed, CONTRACT, "left_anti").join(touched, unit, "left_semi")
-            now = changed.unionByName(unchanged)
+            now = _scratch(changed.unionByName(unchanged), f"{scratch}-touched")
         moved = changed.select(*STRIKE).distinct()
         chains = changed.select(*CHAIN_NOW).distinct()
-        legs = _legs(now.join(chains, CHAIN_NOW, "left_semi"), params).persist(StorageLevel.DISK_ONLY)
+        legs = _scratch(_legs(now.join(chains, CHAIN_NOW, "left_semi"), params), f"{scratch}-legs")
         _write_batch(delta_pairs(legs, moved, params), path, "pairs", batch_id)
         _write_batch(moved, path, "strikes", batch_id)
         if parity_scope is not None:
@@ -250,8 +264,8 @@ def stream_boxes(
             _write_batch(last_spots(history, stamp), path, "spots", batch_id)
         state = spark.range(1).select(utc(stamp).alias("stamp"), F.lit(params.max_abs_rate).alias("max_abs_rate"))
         _write_batch(state, path, "stamps", batch_id)
-        legs.unpersist()
-        changed.unpersist()
+        for folder in (scratch, f"{scratch}-touched", f"{scratch}-legs"):
+            delete(spark, folder)
         if (batch_id + 1) % base_every == 0:
             _write_base(spark, path, batch_id, parity_scope is not None)
 
