@@ -118,6 +118,13 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
+#: CRC-32 of a list of bytes ``{}``, bit by bit; 0xEDB88320 is the polynomial, reversed.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {}), lambda crc, b:
+            list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, bit:
+                xor(c >> 1, 3988292384 * (c & 1)))))"""
+_BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+_CRC_OF = _CRC.format(_BYTES)
+
 ORACLES: dict[str, str] = {
     "op4_warc_zip": """
         WITH p AS (
@@ -200,4 +207,100 @@ ORACLES: dict[str, str] = {
                      / 281474976710656.0), 3 * d.size) AS BIGINT) AS taken
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
     """,
+    # Words one edit apart share what is left after leaving out one code point.
+    "op11_spelling": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                   unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+            FROM documents
+        ), distinct_runs AS (
+            SELECT id, run, count(*) AS times, id || ':' || run AS named
+            FROM runs WHERE len(run) >= 7 GROUP BY id, run
+        ), hashed AS (
+            SELECT run, times, {_CRC_OF.format("named")} AS h FROM distinct_runs
+        ), words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % len(run) AS BIGINT))
+                             || substr(run, CAST(h % len(run) AS BIGINT) + 2) ELSE run END AS word,
+                   CAST(sum(times) AS BIGINT) AS n
+            FROM hashed GROUP BY 1 HAVING len(word) >= 7 AND n >= 2
+        ), shorter AS (
+            SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM words, unnest(range(len(word))) AS u(i)
+        ), pairs AS (
+            SELECT DISTINCT a.word, b.word AS other, b.n AS m
+            FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT w.word, s.word, s.n FROM words w JOIN shorter s ON w.word = s.rest
+            UNION SELECT s.word, w.word, w.n FROM words w JOIN shorter s ON w.word = s.rest
+        ), near AS (
+            SELECT word, count(*) AS n_near, max(m) AS most,
+                   arg_min(other, (-m, other)) AS best
+            FROM pairs GROUP BY word
+        ), formed AS (
+            SELECT w.word, n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN most >= 10 * n THEN best END AS form,
+                   CASE WHEN most >= 10 * n THEN most END AS form_n
+            FROM words w LEFT JOIN near USING (word)
+        ), steps AS (
+            SELECT word, word AS root, form AS next FROM formed
+            UNION ALL
+            SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON s.next = f.word
+        )
+        SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n
+        FROM formed f JOIN steps s ON f.word = s.word AND s.next IS NULL
+    """,
+    "op13_prefix_trie": rf"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS n
+            FROM (
+                SELECT conv_id, turn, substr(sha256(concat(len(r), ':', r, ':', x)), 1, 32) AS key,
+                       len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+                FROM t
+            )
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base,
+                   {_CRC_OF.format("CAST(conv_id AS VARCHAR)")} % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)
+        ), turns AS (
+            SELECT c.conv_id, 0 AS part, o.n, o.key, o.words
+            FROM c JOIN own o ON o.conv_id = c.base AND o.n <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, o.n, o.key, o.words
+            FROM c JOIN own o ON o.conv_id = c.conv_id AND o.n > c.h
+        ), paths AS (
+            SELECT c.conv_id,
+                   coalesce(list(key ORDER BY part, n) FILTER (key IS NOT NULL), []) AS p,
+                   list(words ORDER BY part, n) AS w
+            FROM c LEFT JOIN turns USING (conv_id) GROUP BY c.conv_id
+        ), members AS (
+            SELECT conv_id, d, array_to_string(p[1:d], ',') AS node, len(p) = d AS ends,
+                   CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words
+            FROM paths, unnest(range(len(p) + 1)) AS u(d)
+        ), nodes AS (
+            SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+                   CASE WHEN d > 0 THEN array_to_string(string_split(node, ',')[1:d - 1], ',') END AS parent,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                                   FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY d, node
+        ), kids AS (
+            SELECT d - 1 AS d, parent AS node, count(*) AS n_children
+            FROM nodes WHERE d > 0 GROUP BY ALL
+        ), counted AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children
+            FROM nodes n LEFT JOIN kids k ON n.d = k.d AND n.node = k.node
+        ), sums AS (
+            SELECT u.d, array_to_string(string_split(node, ',')[1:u.d], ',') AS node,
+                   count(*) FILTER (n_children = 0) AS n_leaves,
+                   sum((n_convs - 1) * words) AS saved_tokens
+            FROM counted, unnest(range(counted.d + 1)) AS u(d) GROUP BY 1, 2
+        )
+        SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children,
+               s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+        FROM counted a JOIN sums s ON a.d = s.d AND a.node = s.node
+        LEFT JOIN counted p ON p.d = a.d - 1 AND p.node = a.parent
+    """,
 }
