@@ -586,9 +586,51 @@ FROM b""",
         select="""
 SELECT count(*) AS version, max(snapshot_time) AS last_update,
        count(DISTINCT symbol) AS contracts, count(DISTINCT symbol) AS symbols,
-       count(DISTINCT ticker) AS tickers_done, CAST(3 AS BIGINT) AS tickers_total
+       count(DISTINCT ticker) AS tickers_done, CAST(3 AS BIGINT) AS tickers_total,
+       'stopped' AS state, CAST(4 AS BIGINT) AS batches,
+       CAST(3 AS BIGINT) AS bootstrap_done, CAST(3 AS BIGINT) AS bootstrap_total,
+       'VIX' AS tickers_failed, 'DJX' AS tickers_empty,
+       (SELECT count(DISTINCT symbol) FROM q WHERE ticker = 'SPX') AS subscribed,
+       CAST(NULL AS VARCHAR) AS error
 FROM tracked""",
     ),
+    "stream_merge_by_time": _sql(
+        EVENTS_DAILY,
+        HEARD,
+        select=_STREAM_MERGE.format(source="heard").replace(
+            "count(*) AS n_updates", "count(*) AS n_updates, max(snapshot_time) AS last_update"
+        ).replace(", seq)", ", (snapshot_time, seq))"),
+    ),
+    "landed_pages": _sql(
+        EVENTS,
+        MERGED.format(source="q"),
+        COLLECTED,
+        select="""
+SELECT ticker, seq // 1048576 AS page_no, seq,
+       ticker || replace(substr(expiry, 3), '-', '')
+         || CASE WHEN option_type = 'call' THEN 'C' ELSE 'P' END
+         || lpad(CAST(CAST(strike * 1000 AS BIGINT) AS VARCHAR), 8, '0') AS default_symbol
+FROM numbered WHERE seq // 1048576 < 40""",
+    ),
+    "object_messages": _sql(
+        EVENTS,
+        select="""
+SELECT ticker, expiry, strike, option_type, bid, ask, volume AS bid_size, open_interest AS ask_size, seq
+FROM q WHERE seq % 13 > 0""",
+    ),
+    "heatmap_wide": _event_boxes(
+        "SELECT kl, ks, round(avg(mid_rate) * 100, 6) AS rate_pct FROM b"
+        " WHERE expiry = '2024-07-19' GROUP BY kl, ks"
+    ),
+    "percent_texts": _event_boxes(
+        _top(50).replace("SELECT side,", "SELECT CAST(rank AS INTEGER) AS rank, round(lend_rate * 100, 2) AS lend_pct FROM (SELECT side,", 1)
+        + ") WHERE side = 'lend'",
+        ROUNDED.replace(", 6)", ", 4)"),
+    ),
+    "view_of_few_columns": _event_boxes(
+        "SELECT side, rank, ticker, expiry, kl, ks, lend_rate, borrow_rate FROM (" + _top(20) + ")",
+        ROUNDED.replace("FROM b", "FROM b WHERE ticker = 'SPX'"),
+    ),
     "collect_snapshot": _collected(EVENTS_DAILY),
     "collect_scheduled": _collected(EVENTS),
     "rate_curve": _event_boxes(

@@ -6,6 +6,7 @@ six decimals on both sides.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
@@ -16,14 +17,19 @@ from boxrates.functions.opra import parse_opra, underlying
 from boxrates.functions.pricing import expiry_time
 from boxrates.operators import boxes as box
 from boxrates.operators import filters, quotes, strikes, views, wide
-from boxrates.operators.normalise import quotes_from_chain, quotes_from_items, quotes_from_messages
+from boxrates.operators.normalise import (
+    messages_from_objects,
+    quotes_from_chain,
+    quotes_from_items,
+    quotes_from_messages,
+)
 from boxrates.operators.pairs import strike_pairs
 from boxrates.params import RateParams
 from boxrates.plans.collect import collect_snapshot, staged
 from boxrates.schema import CHAIN
 from boxrates.session import work_dir
 from boxrates.sources import snapshots
-from boxrates.sources.chain_pages import chain_items, underlying_price
+from boxrates.sources.chain_pages import chain_items, read_chain_pages, underlying_price
 from boxrates.sources.derived import (
     EVENT_SNAPSHOT,
     TICKERS,
@@ -31,7 +37,7 @@ from boxrates.sources.derived import (
     quotes_by_supplier,
     quotes_from_events,
 )
-from boxrates.streaming import live
+from boxrates.streaming import event_time, live, status
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -723,6 +729,7 @@ def stream_quotes(spark, sf_dir):
 
 
 STREAM_BATCHES = 4
+LANDED_PAGES = 40
 
 
 def _live_quotes(spark, sf_dir) -> DataFrame:
@@ -781,9 +788,96 @@ def stream_boxes(spark, sf_dir):
     return _rounded(shown, "spot_price", *RATES)
 
 
+def _bootstrap_pages(spark, sf_dir) -> DataFrame:
+    """The chain pages of a start at which VIX can't be read and DJX is empty."""
+    ticker = F.col("ticker")
+    document = F.when(ticker == "VIX", "no json").when(ticker == "DJX", '{"snapshots":{}}').otherwise(F.col("document"))
+    return _unique_pages(_updates(spark, sf_dir)).withColumn("document", document)
+
+
 def stream_status(spark, sf_dir):
-    checkpoint = f"{_run_stream(spark, sf_dir)}/checkpoint"
-    return live.stream_status(live.current_quotes(spark, checkpoint), PARAMS)
+    log = work_dir(spark, "status")
+    listener = status.StatusLog(spark, log)
+    spark.streams.addListener(listener)
+    try:
+        path = _run_stream(spark, sf_dir)
+        for _ in range(120):  # the listener writes after the query has ended
+            if listener.ended:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    bootstrap = status.bootstrap_states(_bootstrap_pages(spark, sf_dir), PARAMS.tickers)
+    current = live.current_quotes(spark, f"{path}/checkpoint")
+    states = status.stream_states(spark, log)
+    return live.stream_status(current, PARAMS, states=states, bootstrap=bootstrap).drop("last_progress")
+
+
+def stream_merge_by_time(spark, sf_dir):
+    """Every message twice and out of order, merged by the day that it bears."""
+    events = _events(spark, sf_dir)
+    landed = work_dir(spark, "events")
+    events.unionByName(events).repartition(STREAM_BATCHES, F.col("event_id") * 7 % 64).write.parquet(landed)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    messages = quotes_from_messages(_message(quotes_from_events(reader, daily=True)))
+    path, provider = work_dir(spark, "by-time"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    event_time.use_rocksdb(spark)
+    try:
+        event_time.stream_merge_by_time(messages, path, delay=timedelta(days=400)).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return event_time.latest_by_time(spark, path).drop("ended", "symbol")
+
+
+# --- landed objects -----------------------------------------------------------------
+
+
+def landed_pages(spark, sf_dir):
+    """Pages as one file each, of which the first ``LANDED_PAGES`` of a ticker are taken."""
+    path = work_dir(spark, "pages")
+    _unique_pages(_updates(spark, sf_dir)).drop("snapshot_time").write.partitionBy("ticker", "page_no").text(path)
+    pages = read_chain_pages(spark, path, layout="files", max_pages=LANDED_PAGES)
+    return chain_items(pages).select("ticker", "page_no", "seq", "default_symbol")
+
+
+def object_messages(spark, sf_dir):
+    """Typed quote objects through the message format and back."""
+    updates = _updates(spark, sf_dir)
+    objects = updates.select(
+        F.when(F.col("seq") % 13 > 0, F.col("symbol")).alias("symbol"),
+        F.col("bid").alias("bid_price"),
+        F.col("ask").alias("ask_price"),
+        F.col("volume").alias("bid_size"),
+        F.col("open_interest").alias("ask_size"),
+        F.col("snapshot_time").alias("timestamp"),
+        "seq",
+    )
+    parsed = quotes_from_messages(messages_from_objects(objects))
+    return parsed.select("ticker", "expiry", "strike", "option_type", "bid", "ask", "bid_size", "ask_size", "seq")
+
+
+def heatmap_wide(spark, sf_dir):
+    """The matrix of lower and upper strikes, unpivoted again for comparison."""
+    heatmap = views.rate_heatmap(_event_boxes(spark, sf_dir), VIEW_EXPIRY)
+    wide_form = views.heatmap_matrix(heatmap, lows=[float(k) for k in range(4000, 5001, 25)])
+    lows = [f"k{float(c):.0f}" for c in wide_form.columns if c != "ks"]
+    long = wide_form.toDF("ks", *lows).unpivot("ks", lows, "kl", "rate_pct").filter("rate_pct IS NOT NULL")
+    return _rounded(long.withColumn("kl", F.substring("kl", 2, 20).cast("double")), "rate_pct")
+
+
+def percent_texts(spark, sf_dir):
+    """Rates as text, compared as the number that the text shows."""
+    top = views.top_opportunities(_rounded(_event_boxes(spark, sf_dir), *RATES, places=4), 50, as_text=True)
+    number = F.regexp_extract("lend_rate", r"^(-?\d+\.?\d*)%$", 1).try_cast("double")
+    return top.filter("side = 'lend'").select("rank", F.round(number, 2).alias("lend_pct"))
+
+
+def view_of_few_columns(spark, sf_dir):
+    """Filters and the top table over boxes that lack the columns some of them need."""
+    few = _event_boxes(spark, sf_dir).select(*CHAIN, "kl", "ks", "lend_rate", "borrow_rate")
+    view = filters.view_filter(few, ticker="SPX", min_volume=10, width_range=(25.0, 250.0), moneyness_band=5.0)
+    return views.top_opportunities(_rounded(view, "lend_rate", "borrow_rate"), 20)
 
 
 QUERIES: dict[str, Query] = {
@@ -818,6 +912,12 @@ QUERIES: dict[str, Query] = {
     "snapshot_file_status": snapshot_file_status,
     "stream_merge": stream_merge,
     "stream_seeded": stream_seeded,
+    "stream_merge_by_time": stream_merge_by_time,
+    "landed_pages": landed_pages,
+    "object_messages": object_messages,
+    "heatmap_wide": heatmap_wide,
+    "percent_texts": percent_texts,
+    "view_of_few_columns": view_of_few_columns,
     "stream_boxes": stream_boxes,
     "stream_status": stream_status,
     "collect_snapshot": collected_snapshot,

@@ -14,7 +14,7 @@ from boxrates.functions.payload import (
     search,
     whole,
 )
-from boxrates.schema import QUOTES, conform
+from boxrates.schema import QUOTES, conform, with_order_of
 
 # Field names accepted in chain items, in order of preference.
 ITEM_SYMBOL = ["symbol", "S", "option_symbol", "contract_symbol", "id"]
@@ -173,4 +173,4 @@ def quotes_from_messages(messages: DataFrame) -> DataFrame:
         }
     )
     complete = quotes.dropna(subset=["expiry", "strike", "option_type"])
-    return conform(complete, QUOTES)
+    return conform(complete, with_order_of(QUOTES, messages))

@@ -79,6 +79,20 @@ def utc(time: datetime) -> Column:
     return F.lit(time.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def utc_of(time: str) -> Column:
+    """UTC wall-clock time of a TIMESTAMP column, whatever the session zone."""
+    seconds = f"CAST(CAST(unix_micros({time}) AS DECIMAL(24, 0)) / 1000000 AS DECIMAL(18, 6))"
+    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})")
+
+
+def with_order_of(schema: T.StructType, df: DataFrame) -> T.StructType:
+    """``schema`` with ``seq`` of the type that it has in ``df``."""
+    if "seq" not in df.columns:
+        return schema
+    kind = df.schema["seq"].dataType
+    return T.StructType([T.StructField(f.name, kind) if f.name == "seq" else f for f in schema.fields])
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to ``schema`` in its order, adding absent columns as NULL."""
     present = set(df.columns)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -40,9 +40,10 @@ from boxrates.operators.quotes import (
 from boxrates.operators.strikes import liquid_strikes, pivot_unique, synthetic_forwards
 from boxrates.params import ALL, RateParams
 from boxrates.plans.collect import run_collection
-from boxrates.schema import BOXES, CONTRACT, QUOTES, conform, utc
+from boxrates.schema import BOXES, CONTRACT, QUOTES, conform, utc, utc_of, with_order_of
 from boxrates.session import work_dir
 from boxrates.sources.paths import complete_batches, delete, matching
+from boxrates.streaming.status import bootstrap_progress
 
 LOGGER = logging.getLogger(__name__)
 
@@ -68,19 +69,32 @@ _KINDS = {
 }
 
 
+def total_order(time: str, partition: str, offset: str) -> Column:
+    """One number per message that orders a topic: by millisecond, then partition, then offset.
+
+    An offset alone orders its partition only. The number depends on where a message lies and
+    never on when it arrives, so ties of one millisecond fall the same way in every run.
+    Valid for times from 1970 on and up to a million partitions; wider than 64 bits.
+    """
+    return F.expr(
+        f"CAST(unix_millis({time}) AS DECIMAL(38, 0)) * 10000000000000000000000000BD"
+        f" + CAST({partition} AS DECIMAL(38, 0)) * 10000000000000000000BD + CAST({offset} AS DECIMAL(38, 0))"
+    ).cast("decimal(38,0)")
+
+
 def read_messages(spark: SparkSession, path: str, fmt: str = "json", **options) -> DataFrame:
     """Stream of messages ``value, seq, ts``.
 
     ``json`` and ``parquet`` watch a folder of landed messages. For ``kafka``, ``path``
-    is the topic; order is the offset, so messages of a contract must share a
-    partition (key them by symbol).
+    is the topic, and ``seq`` is the total order of time, partition and offset
+    (``total_order``): messages of a contract may lie in several partitions.
     """
     if fmt == "kafka":
         topic = spark.readStream.format("kafka").option("subscribe", path).options(**options)
         return topic.load().select(
             F.col("value").cast("string").alias("value"),
-            F.col("offset").alias("seq"),
-            F.col("timestamp").cast("timestamp_ntz").alias("ts"),
+            total_order("timestamp", "partition", "offset").alias("seq"),
+            utc_of("timestamp").alias("ts"),
         )
     return spark.readStream.schema(MESSAGES).options(**options).format(fmt).load(path)
 
@@ -95,17 +109,17 @@ def seed_quotes(quotes: DataFrame, path: str) -> None:
 def with_seed(quotes: DataFrame, path: str) -> DataFrame:
     """Live quotes preceded by the seeded ones."""
     seed = quotes.sparkSession.readStream.schema(QUOTES).parquet(path)
-    return conform(quotes, QUOTES).unionByName(seed)
+    schema = with_order_of(QUOTES, quotes)
+    return conform(quotes, schema).unionByName(conform(seed, schema))
 
 
-def _state_type() -> T.StructType:
-    """The buffers of ``merge_updates`` as the state store holds them, with names."""
-    types = {f.name: f.dataType for f in QUOTES.fields}
-    fields = []
+def _named_state(value: T.StructType) -> T.StructType:
+    """The buffers of ``merge_updates`` as the state store holds them, with names of their own."""
+    names = []
     for name in [*PRICE_FIELDS, *COUNT_FIELDS, *SIZE_FIELDS, "symbol"]:
-        fields += [T.StructField(name, types[name]), T.StructField(f"{name}_at", T.LongType())]
-    last = [("n_updates", T.LongType()), ("seq", T.LongType()), ("last_update", T.TimestampNTZType())]
-    return T.StructType([*fields, *[T.StructField(name, kind) for name, kind in last]])
+        names += [name, f"{name}_at"]
+    names += ["n_updates", "seq", "last_update"]
+    return T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, value.fields, strict=True)])
 
 
 def current_quotes(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
@@ -119,7 +133,8 @@ def current_quotes(spark: SparkSession, checkpoint: str, batch_id: int | None =
     if batch_id is not None:
         reader = reader.option("batchId", batch_id)
     # The buffers share two names, so they are told apart by their place.
-    state = reader.load(checkpoint).select("key", F.col("value").cast(_state_type()).alias("v"))
+    state = reader.load(checkpoint)
+    state = state.select("key", F.col("value").cast(_named_state(state.schema["value"].dataType)).alias("v"))
     types = {f.name: f.dataType for f in QUOTES.fields}
     numbers = [
         F.coalesce(f"v.{f}", F.lit(0)).cast(types[f]).alias(f) for f in [*PRICE_FIELDS, *COUNT_FIELDS]
@@ -368,9 +383,21 @@ def latest_boxes(spark: SparkSession, path: str, batch_id: int | None = None) ->
     return conform(boxes.withColumn("expiry", F.date_format(expiry_time(F.col("expiry")), "yyyy-MM-dd")), BOXES)
 
 
-def stream_status(current: DataFrame, params: RateParams = RateParams()) -> DataFrame:
-    """One row over ``current_quotes``: messages merged, last arrival, contracts, symbols, tickers."""
-    return current.agg(
+def stream_status(
+    current: DataFrame,
+    params: RateParams = RateParams(),
+    *,
+    states: DataFrame | None = None,
+    bootstrap: DataFrame | None = None,
+) -> DataFrame:
+    """One row over ``current_quotes``: messages merged, last arrival, contracts, symbols, tickers.
+
+    ``states``, the row of this stream in ``status.stream_states``, adds its state, batches and
+    error; ``bootstrap``, of ``status.bootstrap_states``, adds how far the bootstrap is and
+    which tickers failed or were empty. The symbols counted there can be subscribed to; where
+    there are none, that is the error unless the stream has one of its own.
+    """
+    status = current.agg(
         F.coalesce(F.sum("n_updates"), F.lit(0)).alias("version"),
         F.max("last_update").alias("last_update"),
         F.count(F.lit(1)).alias("contracts"),
@@ -378,6 +405,24 @@ def stream_status(current: DataFrame, params: RateParams = RateParams()) -> Data
         F.count_distinct("ticker").alias("tickers_done"),
         F.lit(len(params.tickers)).cast("bigint").alias("tickers_total"),
     )
+    columns = [*status.columns]
+    error = F.lit(None).cast("string")
+
+    def one_row(df: DataFrame, name: str) -> None:
+        nonlocal status
+        status = status.withColumn(name, df.select(F.struct(*df.columns)).scalar())
+
+    if states is not None:
+        one_row(states.select("state", "batches", "last_progress", "error"), "_stream")
+        columns += [F.col(f"_stream.{c}").alias(c) for c in ("state", "batches", "last_progress")]
+        error = F.col("_stream.error")
+    if bootstrap is not None:
+        progress = bootstrap_progress(bootstrap)
+        one_row(progress, "_start")
+        columns += [F.col(f"_start.{c}").alias(c) for c in progress.columns]
+        nothing = F.when(F.col("_start.subscribed") == 0, "no option symbols to subscribe to")
+        error = F.coalesce(error, nothing)
+    return status.select(*columns, error.alias("error"))
 
 
 def _keep_pages(landed: DataFrame, kept: str, batch_id: int, stamp: datetime) -> set[datetime]:

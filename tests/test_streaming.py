@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import timedelta
 
 import pytest
@@ -41,7 +42,10 @@ def _land(folder, batches):
     folder.mkdir(exist_ok=True)
     for number, batch in enumerate(batches):
         text = "\n".join(json.dumps(message) for message in batch)
-        (folder / f"{number}-{len(list(folder.iterdir()))}.json").write_text(text)
+        landed = len(list(folder.iterdir()))
+        file = folder / f"{number}-{landed}.json"
+        file.write_text(text)
+        os.utime(file, (1_767_000_000 + landed,) * 2)  # files are taken by their time
     return str(folder)
 
 
