@@ -8,13 +8,15 @@ whole texts.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import os
 import re
-import struct
 
-CACHED = 300_000  # chunks; when full, the cache starts anew
+CACHED = 96 << 20  # bytes that a cache may take
+LONGEST = 48  # characters of a chunk that is worth remembering
+_ENTRY = 200  # bytes of an entry besides its key and value
 
 #: Letters that no normaliser of these tokenizers changes but by lower-casing, then marks
 #: that form a piece of their own behind letters.
@@ -53,7 +55,7 @@ def version_of(path: str) -> str:
 class Remembered(dict):
     """A dict that computes what it lacks and empties itself when it is full."""
 
-    def __init__(self, compute, limit: int = CACHED):
+    def __init__(self, compute, limit: int):
         self.compute = compute
         self.limit = limit
 
@@ -64,14 +66,43 @@ class Remembered(dict):
         return value
 
 
+class Recalled(dict):
+    """A dict that computes what it lacks, within a bound on its bytes.
+
+    It keeps two generations: when the young one has half of the bytes it becomes the old
+    one, and what is asked for there is taken over again. Long keys are not kept at all, so
+    text without blanks, one chunk a paragraph, costs no memory.
+    """
+
+    def __init__(self, compute, limit: int = CACHED):
+        self.compute = compute
+        self.half = limit // 2
+        self.size = 0
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > LONGEST:
+                return value
+        if self.size >= self.half:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        # A character takes one byte in most texts and up to four.
+        self.size += _ENTRY + len(key) * (1 if key.isascii() else 4)
+        self[key] = value
+        return value
+
+
 class _Pieces:
     """Ids of single pre-tokens through the tokenizer's model."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.word = Remembered(self._word)
-        self.marks = Remembered(lambda s: self._word(s), 10_000)
+        self.word = Recalled(self._word, CACHED // 2)
+        self.marks = Recalled(lambda s: self._word(s), CACHED // 16)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _word(self, piece: str) -> tuple[int, ...]:
@@ -94,8 +125,8 @@ class ByteCounter(_Pieces):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = Remembered(lambda w: self._chunk("", w))
-        self.spaced = Remembered(lambda w: self._chunk(" ", w))
+        self.first = Recalled(lambda w: self._chunk("", w))
+        self.spaced = Recalled(lambda w: self._chunk(" ", w))
         self.newline = len(self.whole("\n"))
 
     def _chunk(self, before: str, chunk: str) -> int:
@@ -118,29 +149,31 @@ class ByteCounter(_Pieces):
         return n
 
 
+def _packed(ids) -> bytes:
+    return array.array("I", ids).tobytes()
+
+
 class WordEncoder(_Pieces):
     """Ids of texts as little-endian 32-bit integers, for word BPE that drops white space."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunk = Remembered(self._chunk)
+        self.chunk = Recalled(self._chunk)
+        self.letters = Recalled(lambda w: _packed(self._word(w)), CACHED // 2)
+        self.packed_marks = Recalled(lambda m: _packed(self._word(m)), CACHED // 16)
 
     def _chunk(self, chunk: str) -> bytes:
         simple = SIMPLE.fullmatch(chunk)
         if simple is None:
-            ids = self.whole(chunk)
-        else:
-            letters, marks = simple.groups()
-            ids = self.word[letters.lower()]
-            if marks:
-                ids = ids + self.marks[marks]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return _packed(self.whole(chunk))
+        letters, marks = simple.groups()
+        ids = self.letters[letters.lower()]
+        return ids + self.packed_marks[marks] if marks else ids
 
     def encode(self, text: str) -> bytes:
         # Control characters are white space for Python, but not for the tokenizer.
         if self.has_special(text) or _CONTROLS.search(text):
-            ids = self.whole(text)
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return _packed(self.whole(text))
         return b"".join(map(self.chunk.__getitem__, text.split()))
 
 

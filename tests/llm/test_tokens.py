@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from boxrates.llm.packing import Windows, packed
-from boxrates.llm.pieces import byte_counter, load, word_encoder
+from boxrates.llm.pieces import Recalled, byte_counter, load, word_encoder
 from boxrates.llm.token_counts import token_counts
 from boxrates.session import work_dir
 
@@ -54,6 +54,18 @@ def test_any_text(byte_tokenizer, word_tokenizer, text):
     assert ids(word_encoder(WORDS).encode(text)) == word_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_caches_are_bounded_by_bytes_and_keep_no_long_chunks():
+    seen = []
+    cache = Recalled(lambda k: seen.append(k) or k.upper(), 4000)
+    for _ in range(3):
+        for i in range(200):
+            assert cache[f"word{i}"] == f"WORD{i}" and cache["often"] == "OFTEN"
+        assert cache["x" * 100_000] == "X" * 100_000
+    assert seen.count("often") == 1 and seen.count("x" * 100_000) == 3
+    assert sum(200 + len(k) for held in (cache, cache.old) for k in held) <= 4000 + 400
+    assert max(len(k) for held in (cache, cache.old) for k in held) < 100
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, digest string, part int")
 
