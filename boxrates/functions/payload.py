@@ -27,12 +27,14 @@ NESTED_SOURCES = [
 ]
 
 
-_MEMBERS = "map<string,variant>"
+def members(value: Column, names: Sequence[str]) -> Column:
+    """The named members of an object; NULL for anything but an object, and for absent members.
 
-
-def members(value: Column) -> Column:
-    """Members of an object by name; NULL for anything but an object."""
-    return F.try_variant_get(value, "$", _MEMBERS)
+    A struct with a place for each known name: the document is walked once, and a member is
+    then found by its place instead of by its name.
+    """
+    fields = ", ".join(f"`{name}` variant" for name in dict.fromkeys(names))
+    return F.try_variant_get(value, "$", f"struct<{fields}>")
 
 
 def is_object(value: Column) -> Column:
@@ -53,25 +55,33 @@ def number_member(source: Column, key: str) -> Column:
     return F.nanvl(number, F.lit(None).cast("double"))
 
 
-def flat_source(document: Column) -> Column:
-    """The document as the only source."""
-    return F.array_compact(F.array(members(document)))
+def names_of(*fields: Mapping[str, Sequence[str]] | Sequence[str]) -> list[str]:
+    """All member names of some fields."""
+    lists = [keys for f in fields for keys in (f.values() if isinstance(f, Mapping) else [f])]
+    return [name for keys in lists for name in keys]
+
+
+def flat_source(document: Column, names: Sequence[str]) -> Column:
+    """The document as the only source, with its members of these names."""
+    return F.array_compact(F.array(members(document, names)))
 
 
-def nested_sources(document: Column) -> Column:
+def nested_sources(document: Column, names: Sequence[str]) -> Column:
     """The document and its nested objects as sources, in search order."""
 
-    def with_nested(own: Column) -> Column:
-        return F.array_compact(F.array(own, *[members(own[key]) for key in NESTED_SOURCES]))
+    def with_nested(held: Column) -> Column:
+        own, nested = held["own"], held["nested"]
+        return F.array_compact(F.array(own, *[members(nested[key], names) for key in NESTED_SOURCES]))
 
     # A list of one binds the members to a name, so that they are unpacked once.
-    return F.flatten(F.transform(flat_source(document), with_nested))
+    both = F.struct(members(document, names).alias("own"), members(document, NESTED_SOURCES).alias("nested"))
+    return F.flatten(F.transform(F.array(both), with_nested))
 
 
 def search(
     sources: Column, numbers: Mapping[str, Sequence[str]], texts: Mapping[str, Sequence[str]]
 ) -> Column:
-    """Look every field up in every source (a map of members): array of structs, one per source.
+    """Look every field up in every source (a struct of members): array of structs, one per source.
 
     ``numbers`` and ``texts`` name the fields and the keys to try for each. All fields
     are found in one walk over the sources; ``found`` then picks from the result.

@@ -10,6 +10,7 @@ from boxrates.functions.payload import (
     computed,
     flat_source,
     found,
+    names_of,
     nested_sources,
     search,
     whole,
@@ -50,6 +51,11 @@ MESSAGE_PRICES = {
 MESSAGE_COUNTS = {"volume": ["v", "volume"], "open_interest": ["oi", "open_interest"]}
 MESSAGE_SIZES = {"bid_size": ["bs", "bid_size"], "ask_size": ["as", "ask_size"]}
 
+ITEM_NAMES = names_of(ITEM_SYMBOL, ITEM_EXPIRY, ITEM_TYPE, ITEM_STRIKE, ITEM_PRICES, ITEM_COUNTS, ITEM_SIZES)
+MESSAGE_NAMES = names_of(
+    MESSAGE_SYMBOL, MESSAGE_EXPIRY, MESSAGE_TYPE, MESSAGE_STRIKE, MESSAGE_PRICES, MESSAGE_COUNTS, MESSAGE_SIZES
+)
+
 
 def _typed_fields(searched, prices, counts, sizes):
     return {
@@ -75,12 +81,12 @@ def quotes_from_items(items: DataFrame) -> DataFrame:
     """
     # The container's own key stands in for "symbol" only when the item has no such member.
     inherited = F.when(
-        ~F.map_contains_key(F.get("_sources", 0), F.lit("symbol")),
+        F.get("_sources", 0)["symbol"].isNull(),
         F.nullif("default_symbol", F.lit("")),
     )
     searched = F.col("_searched")
     read = computed(
-        items.withColumn("_sources", nested_sources(F.col("item"))).withColumn(
+        items.withColumn("_sources", nested_sources(F.col("item"), ITEM_NAMES)).withColumn(
             "_searched",
             search(
                 F.col("_sources"),
@@ -149,7 +155,7 @@ def quotes_from_messages(messages: DataFrame) -> DataFrame:
         messages.withColumn(
             "_searched",
             search(
-                flat_source(F.try_parse_json("value")),
+                flat_source(F.try_parse_json("value"), MESSAGE_NAMES),
                 {"_strike": MESSAGE_STRIKE, **MESSAGE_PRICES, **MESSAGE_COUNTS, **MESSAGE_SIZES},
                 {"symbol": MESSAGE_SYMBOL, "_expiry": MESSAGE_EXPIRY, "_type": MESSAGE_TYPE},
             ),

@@ -42,20 +42,52 @@ def merge_updates(updates: DataFrame, keys: Sequence[str] = tuple(CONTRACT)) ->
     kept while missing. ``n_updates`` counts the folded rows. All of it is built-in
     aggregation, so it combines before the shuffle - a contract with a third of all
     updates costs one row per task - and runs unchanged on a stream.
+
+    The last symbol is text, which no hash aggregation can hold as a value. A table is
+    therefore folded by contract and symbol first, where it is part of the key, and only the
+    rows that leaves, one for each symbol of a contract, are sorted.
     """
-    aggregates = {
-        **{f: last_nonzero(f, "double") for f in PRICE_FIELDS},
-        **{f: last_nonzero(f, "bigint") for f in COUNT_FIELDS},
-        **{f: _last_where(f, f"{f} IS NOT NULL") for f in SIZE_FIELDS},
-        "symbol": _last_where("symbol", "symbol <> ''"),
-        "n_updates": F.count(F.lit(1)),
-        "seq": F.max("seq"),
-    }
-    if "snapshot_time" not in keys:
-        aggregates["last_update"] = F.max("snapshot_time")
+    timed = "snapshot_time" not in keys
+    if not updates.isStreaming:
+        updates = _folded(updates, [*keys, "symbol"], timed)
+        last = {f: F.max_by(f, f"_{f}") for f in [*PRICE_FIELDS, *COUNT_FIELDS, *SIZE_FIELDS]}
+        kinds = {**dict.fromkeys(PRICE_FIELDS, "double"), **dict.fromkeys(COUNT_FIELDS, "bigint")}
+        aggregates = {
+            **{f: F.coalesce(last[f], F.lit(0)).cast(kind) for f, kind in kinds.items()},
+            **{f: last[f] for f in SIZE_FIELDS},
+            "symbol": _last_where("symbol", "symbol <> ''"),
+            "n_updates": F.sum("n_updates"),
+            "seq": F.max("seq"),
+        }
+        if timed:
+            aggregates["last_update"] = F.max("last_update")
+    else:
+        aggregates = {
+            **{f: last_nonzero(f, "double") for f in PRICE_FIELDS},
+            **{f: last_nonzero(f, "bigint") for f in COUNT_FIELDS},
+            **{f: _last_where(f, f"{f} IS NOT NULL") for f in SIZE_FIELDS},
+            "symbol": _last_where("symbol", "symbol <> ''"),
+            "n_updates": F.count(F.lit(1)),
+            "seq": F.max("seq"),
+        }
+        if timed:
+            aggregates["last_update"] = F.max("snapshot_time")
     return updates.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
 
 
+def _folded(updates: DataFrame, keys: list[str], timed: bool) -> DataFrame:
+    """Each field's last value and, under its name with ``_`` in front, the ``seq`` that set it."""
+    aggregates = []
+    for field in [*PRICE_FIELDS, *COUNT_FIELDS, *SIZE_FIELDS]:
+        news = f"{field} IS NOT NULL" if field in SIZE_FIELDS else f"{field} <> 0"
+        aggregates.append(_last_where(field, news).alias(field))
+        aggregates.append(F.expr(f"max(CASE WHEN {news} THEN seq END)").alias(f"_{field}"))
+    aggregates += [F.count(F.lit(1)).alias("n_updates"), F.max("seq").alias("seq")]
+    if timed:
+        aggregates.append(F.max("snapshot_time").alias("last_update"))
+    return updates.groupBy(*keys).agg(*aggregates)
+
+
 def tracked_only(quotes: DataFrame, tracked: DataFrame) -> DataFrame:
     """Quotes of the tracked (ticker, expiry) pairs."""
     return quotes.join(tracked.select("ticker", "expiry"), ["ticker", "expiry"], "left_semi")

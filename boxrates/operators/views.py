@@ -192,18 +192,15 @@ def top_opportunities(boxes: DataFrame, n: int = 10, *, as_text: bool = False) -
     shown = [c for c in TOP_COLUMNS if c in boxes.columns]
     ties = [c for c in ("ticker", "expiry", "kl", "ks", "snapshot_time") if c in boxes.columns]
 
-    def side(name: str, rate: str, condition) -> DataFrame:
-        order = [F.col(rate).desc(), *[F.col(tie).asc() for tie in ties]]
-        best = boxes.filter(condition).orderBy(*order).limit(n)
-        # Ranks the n rows just chosen.
-        ranked = best.withColumn(
-            "rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
-        )
-        return ranked.select(F.lit(name).alias("side"), "rank", *shown)
-
-    top = side("lend", "lend_rate", F.col("lend_rate") > 0).unionAll(
-        side("borrow", "borrow_rate", F.col("borrow_rate") < 0)
-    )
+    # Each box once for each side it stands on; tasks keep n rows of a side before the shuffle.
+    lend = F.when(F.col("lend_rate") > 0, F.col("lend_rate"))
+    borrow = F.when(F.col("borrow_rate") < 0, F.col("borrow_rate"))
+    sides = [F.struct(F.lit(name).alias("side"), rate.alias("rate")) for name, rate in (("lend", lend), ("borrow", borrow))]
+    sided = boxes.withColumn("_side", F.explode(F.array(*sides))).filter("_side.rate IS NOT NULL")
+    order = [F.col("_side.rate").desc(), *[F.col(tie).asc() for tie in ties]]
+    ranked = sided.withColumn("rank", F.row_number().over(Window.partitionBy("_side.side").orderBy(*order)))
+    top = ranked.filter(F.col("rank") <= n).select(F.col("_side.side").alias("side"), "rank", *shown)
+    top = top.orderBy(F.col("side").desc(), "rank")
     if as_text:
         rates = [c for c in ("mid_rate", "lend_rate", "borrow_rate") if c in shown]
         top = top.withColumns({c: percent_text(F.col(c)) for c in rates})

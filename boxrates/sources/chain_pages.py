@@ -113,7 +113,7 @@ def underlying_price(documents: DataFrame, *, strict: bool = False) -> DataFrame
     data = F.try_variant_get(document, "$.data", "variant")
     payload = data if strict else F.coalesce(data, document)
     group = [key for key in ("ticker", "snapshot_time") if key in documents.columns]
-    searched = search(nested_sources(F.col("_payload")), {"price": PRICE_KEYS}, {})
+    searched = search(nested_sources(F.col("_payload"), PRICE_KEYS), {"price": PRICE_KEYS}, {})
     priced = computed(
         documents.withColumn("_payload", payload),
         {"_price": F.when(is_object(F.col("_payload")), found(searched, "price"))},

@@ -244,3 +244,13 @@ def test_dirty_rows_cost_no_other_chain(spark):
     assert found == expected and len(found) == 1
     loud = build_boxes(quotes(spark, chain(4000, 4100, volume=4 * 10**18)), params).first()
     assert loud.total_leg_volume is None and loud.min_leg_volume == 4 * 10**18
+
+
+def test_updates_are_folded_by_hash_before_the_first_shuffle(spark, tmp_path):
+    rows_in = [quote("SPX", "2026-07-02", 4000 + i % 3, "call", i % 5, i, 0, 1, i % 4, 1, symbol=["A", "B", None, ""][i % 4]) for i in range(200)]
+    quotes(spark, rows_in).write.parquet(str(tmp_path / "q"))
+    merged = merge_updates(spark.read.parquet(str(tmp_path / "q")))
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lowest = plan[plan.rindex("Exchange"):]
+    assert "HashAggregate" in lowest and "SortAggregate" not in lowest

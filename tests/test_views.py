@@ -155,3 +155,16 @@ def test_heatmap_is_complete_unless_asked(spark):
     assert views.rate_heatmap(many, cells=2000).count() == 2000
     matrix = views.heatmap_matrix(views.rate_heatmap(many.limit(3)), [0.0, 1.0])
     assert matrix.columns == ["ks", "0.0", "1.0"]
+
+
+def test_top_table_reads_its_input_once(spark, tmp_path):
+    boxes = spark.range(100).selectExpr(
+        "concat('T', id % 7) AS ticker", "'2026-07-02' AS expiry", "CAST(id AS DOUBLE) AS kl", "CAST(id + 1 AS DOUBLE) AS ks",
+        "(id - 50) / 100.0D AS lend_rate", "(50 - id) / 100.0D AS borrow_rate",
+    )
+    boxes.write.parquet(str(tmp_path / "boxes"))
+    top = views.top_opportunities(spark.read.parquet(str(tmp_path / "boxes")), 3)
+    found = [(r.side, r.rank, r.kl) for r in top.collect()]
+    assert found == [("lend", 1, 99.0), ("lend", 2, 98.0), ("lend", 3, 97.0), ("borrow", 1, 51.0), ("borrow", 2, 52.0), ("borrow", 3, 53.0)]
+    plan = top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan
