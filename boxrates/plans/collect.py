@@ -15,7 +15,12 @@ from boxrates.params import ALL, RateParams
 from boxrates.schema import utc
 from boxrates.session import staged
 from boxrates.sources.chain_pages import chain_items, underlying_price
-from boxrates.sources.snapshots import clear_snapshots, prune_snapshots, write_snapshot
+from boxrates.sources.snapshots import (
+    clear_snapshots,
+    prune_snapshots,
+    snapshot_listing,
+    write_snapshot,
+)
 
 
 def collect_snapshot(
@@ -78,19 +83,24 @@ def run_collection(
     *,
     fmt: str = "parquet",
     prune: bool = False,
-    replaced: set[datetime] | None = None,
+    as_of: datetime | None = None,
     **options,
 ) -> None:
     """Collect and store below ``path``; ``prune`` deletes all but the configured number of snapshots.
 
-    Of the times ``replaced``, those that come out without boxes are deleted too.
+    Stored snapshots of which ``pages`` are collected anew and come out without boxes are
+    deleted too.
     """
-    boxes = collect_snapshot(pages, params, **options)
-    if replaced:
-        boxes = staged(boxes, "collected")
+    boxes = staged(collect_snapshot(pages, params, as_of=as_of, **options), "collected")
     write_snapshot(boxes, path, fmt)
-    if replaced:
-        found = {row[0] for row in boxes.select("snapshot_time").distinct().collect()}
-        clear_snapshots(spark, path, replaced - found)
+    time = F.col("snapshot_time") if "snapshot_time" in pages.columns else F.lit(None).cast("timestamp_ntz")
+    if as_of is not None:
+        time = F.coalesce(time, utc(as_of))
+    collected = pages.select(time.alias("snapshot_time")).distinct()
+    stored = snapshot_listing(spark, path, fmt, missing_ok=True).select("snapshot_time")
+    emptied = stored.join(collected, "snapshot_time", "left_semi").join(
+        boxes.select("snapshot_time").distinct(), "snapshot_time", "left_anti"
+    )
+    clear_snapshots(spark, path, {row[0] for row in emptied.collect()})
     if prune:
         prune_snapshots(spark, path, params.max_snapshots_retained)

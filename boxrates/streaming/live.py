@@ -489,7 +489,7 @@ def collect_on_schedule(
             times = _keep_pages(landed, kept, batch_id, stamp)
             if times:
                 whole = _kept_pages(spark, kept, times, batch_id)
-                run_collection(spark, whole, path, params, replaced=times, **options)
+                run_collection(spark, whole, path, params, **options)
         except Exception:
             LOGGER.exception("collection of batch %d failed", batch_id)
             raise

@@ -234,6 +234,17 @@ def test_collect_and_prune(spark, tmp_path):
     run_collection(spark, pages, path, params, as_of=AT + timedelta(days=1), prune=True)
     stored = snapshots.scan_snapshots(spark, path)
     assert sorted(r[0].day for r in rows(stored, "snapshot_time")) == [2]
+    # Collected again and empty now: its boxes go.
+    run_collection(spark, _pages(spark, "[]"), path, params, as_of=AT + timedelta(days=1))
+    assert rows(snapshots.scan_snapshots(spark, path), "snapshot_time") == []
+
+
+def test_pages_without_a_time_take_that_of_the_collection_or_fail(spark):
+    undated = _pages(spark, _chain_document()).withColumn("snapshot_time", F.lit(None).cast("timestamp_ntz"))
+    params = RateParams(tickers=("AAPL",))
+    assert rows(collect_snapshot(undated, params, as_of=AT), "snapshot_time") == [(AT,)]
+    with pytest.raises(Exception, match="a page has no snapshot_time"):
+        collect_snapshot(undated, params).collect()
 
 
 def _boxes(spark, *times):
