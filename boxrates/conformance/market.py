@@ -24,7 +24,7 @@ from boxrates.operators import views
 from boxrates.operators.asof import as_of, spot_as_of
 from boxrates.operators.curves import carry_by_tenor, curve_spread
 from boxrates.session import staged
-from boxrates.sources.derived import TICKERS, quotes_from_events
+from boxrates.conformance.derived import TICKERS, quotes_from_events
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 GRID_DAYS = list(range(60, 271, 15))

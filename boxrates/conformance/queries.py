@@ -30,7 +30,7 @@ from boxrates.schema import CHAIN
 from boxrates.session import work_dir
 from boxrates.sources import snapshots
 from boxrates.sources.chain_pages import chain_items, read_chain_pages, underlying_price
-from boxrates.sources.derived import (
+from boxrates.conformance.derived import (
     EVENT_SNAPSHOT,
     TICKERS,
     quotes_by_day,
