@@ -74,7 +74,7 @@ def some(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("crowded", [1, 7, 60, 10**6])
+@pytest.mark.parametrize("crowded", [1, 60, 10**6])
 def test_nodes_equal_brute_force_however_work_is_split(spark, crowded):
     rows = some(crowded)
     assert got(P.prefix_nodes(conversations(spark, rows), crowded=crowded)) == brute(rows)

@@ -79,7 +79,7 @@ def test_a_task_hands_on_its_words_before_it_holds_too_many(spark, monkeypatch):
     assert len(whole) == 1 and len(parts) == 2 and sums(parts) == sums(whole)
 
 
-@pytest.mark.parametrize("pairs", [1, 20, 10**6])
+@pytest.mark.parametrize("pairs", [1, 10**6])
 def test_pairs_equal_brute_force_however_keys_are_refined(spark, pairs):
     rng = random.Random(pairs)
     words = {}
