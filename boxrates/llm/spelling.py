@@ -85,8 +85,12 @@ def word_counts(
 
     Words are maximal runs of letters of whole texts with A-Z lower-cased. Where ``every``
     divides the checksum of ``<doc_id>:<run>``, one code point of the run is left out.
-    NULL texts have no words; a NULL id counts as the empty text. A task sums up what it
-    meets before anything is shuffled.
+    A task sums up what it meets before anything is shuffled.
+
+    - NULL and empty texts have no words; a NULL id counts as the empty text.
+    - Rows that repeat count each, also those that repeat an id.
+    - Very long texts are walked word by word and never listed whole.
+    - Other columns are ignored. An empty table gives an empty table.
     """
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
     parts = docs.select(named, text_of().alias("text")).mapInArrow(
