@@ -76,7 +76,7 @@ def test_a_task_hands_on_its_words_before_it_holds_too_many(spark, monkeypatch):
     whole = list(S._count(7, 31)(iter([batch, batch])))
     monkeypatch.setattr(S, "_HELD", 100)
     parts = list(S._count(7, 31)(iter([batch, batch])))
-    assert len(whole) == 1 and len(parts) == 2 and sums(parts) == sums(whole)
+    assert len(whole) == 1 and len(parts) > 1 and sums(parts) == sums(whole)
 
 
 @pytest.mark.parametrize("pairs", [1, 10**6])
