@@ -14,7 +14,7 @@ import hashlib
 import os
 import re
 
-CACHED = 96 << 20  # bytes that a cache may take
+CACHED = 64 << 20  # bytes that the largest cache of a tokenizer may take; the others take as much together
 LONGEST = 48  # characters of a chunk that is worth remembering
 _ENTRY = 200  # bytes of an entry besides its key and value
 
@@ -101,7 +101,7 @@ class _Pieces:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.word = Recalled(self._word, CACHED // 2)
+        self.word = Recalled(self._word, CACHED // 4)
         self.marks = Recalled(lambda s: self._word(s), CACHED // 16)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -125,8 +125,8 @@ class ByteCounter(_Pieces):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = Recalled(lambda w: self._chunk("", w))
-        self.spaced = Recalled(lambda w: self._chunk(" ", w))
+        self.first = Recalled(lambda w: self._chunk("", w), CACHED // 4)
+        self.spaced = Recalled(lambda w: self._chunk(" ", w), CACHED // 2)
         self.newline = len(self.whole("\n"))
 
     def _chunk(self, before: str, chunk: str) -> int:
