@@ -14,7 +14,7 @@ import hashlib
 import os
 import re
 
-CACHED = 64 << 20  # bytes that the largest cache of a tokenizer may take; the others take as much together
+CACHED = 64 << 20  # bytes by which the caches of a tokenizer are measured out; together they take up to twice that
 LONGEST = 48  # characters of a chunk that is worth remembering
 _ENTRY = 200  # bytes of an entry besides its key and value
 
@@ -158,8 +158,8 @@ class WordEncoder(_Pieces):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunk = Recalled(self._chunk)
-        self.letters = Recalled(lambda w: _packed(self._word(w)), CACHED // 2)
+        self.chunk = Recalled(self._chunk, CACHED * 5 // 4)
+        self.letters = Recalled(lambda w: _packed(self._word(w)), CACHED * 5 // 8)
         self.packed_marks = Recalled(lambda m: _packed(self._word(m)), CACHED // 16)
 
     def _chunk(self, chunk: str) -> bytes:
