@@ -41,43 +41,43 @@ def merge_by_time(updates: DataFrame) -> DataFrame:
     return merge_updates(once.withColumn("seq", F.struct("snapshot_time", "seq"))).drop("seq")
 
 
-def _news(field: str, value) -> bool:
-    if field == "symbol" or field in SIZE_FIELDS:
-        return value not in (None, "")
-    return bool(value)
+def _message(ends: Column) -> Column:
+    """What a contract's state needs of a message, as one text: each cell of a row costs its worker time.
+
+    ``news`` holds only the fields whose value replaces an earlier one.
+    """
+    news = [F.nullif(field, F.lit(0)).alias(field) for field in [*PRICE_FIELDS, *COUNT_FIELDS]]
+    news += [*SIZE_FIELDS, F.nullif("symbol", F.lit("")).alias("symbol")]
+    place = [F.unix_micros("_event").alias("at"), F.col("seq").cast("string").alias("seq")]
+    return F.to_json(F.struct(*place, ends.alias("ends"), F.struct(*news).alias("news")))
 
 
 class _Merge(StatefulProcessor):
-    """One contract: each field's last value with its place in time, and the recent messages."""
+    """One contract: each field's last value with its place in time."""
 
     def init(self, handle) -> None:
         self.handle = handle
         self.quote = handle.getValueState("quote", "fields string, n bigint, last bigint, ends bigint")
-        # Messages that the watermark hasn't passed; a repeat of an older one is late itself.
-        self.recent = handle.getListState("recent", "at bigint, seq string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stored = self.quote.get()
         fields, n, last = (json.loads(stored[0]), stored[1], stored[2]) if stored else ({}, 0, 0)
         ends = stored[3] if stored else None
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        recent = {(at, seq) for at, seq in self.recent.get() if at >= passed}
         for row in rows:
-            place = [row.micros, int(row.seq)]
-            if row.micros < passed or (row.micros, row.seq) in recent:
-                continue  # too late, or a repeat
-            recent.add((row.micros, row.seq))
-            n, last = n + 1, max(last, row.micros)
-            for field in FIELDS:
-                value = row[field]
-                if _news(field, value) and (field not in fields or place >= fields[field][0]):
+            message = json.loads(row.message)
+            at, place = message["at"], [message["at"], int(message["seq"])]
+            if at < passed:
+                continue  # too late
+            n, last = n + 1, max(last, at)
+            for field, value in message["news"].items():
+                if field not in fields or place >= fields[field][0]:
                     fields[field] = [place, value]
-            if row.ends_ms is not None and ends is None:
-                ends = row.ends_ms
+            if ends is None and "ends" in message:
+                ends = message["ends"]
                 self.handle.registerTimer(ends)
         if not n:
             return
-        self.recent.put(sorted(recent))
         if ends is None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -88,7 +88,6 @@ class _Merge(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         fields, n, last, _ = self.quote.get()
         self.quote.clear()
-        self.recent.clear()
         yield self._row(key, json.loads(fields), n, last, True)
 
     def close(self) -> None:
@@ -97,6 +96,7 @@ class _Merge(StatefulProcessor):
     def _row(self, key, fields: dict, n: int, last: int, ended: bool) -> Row:
         zero = {**dict.fromkeys(PRICE_FIELDS, 0.0), **dict.fromkeys(COUNT_FIELDS, 0)}
         values = [fields[f][1] if f in fields else zero.get(f) for f in FIELDS]
+        values = [float(v) if f in PRICE_FIELDS else v for f, v in zip(FIELDS, values, strict=True)]  # NaN is text in JSON
         at = datetime(1970, 1, 1) + timedelta(microseconds=last)
         return Row(*[*CONTRACT, *FIELDS, "n_updates", "last_update", "ended"])(*key, *values, n, at, ended)
 
@@ -121,10 +121,11 @@ def merged_by_time(quotes: DataFrame, *, delay: timedelta = timedelta(minutes=10
         {"_event": instant(F.col("snapshot_time")), "_expires": instant(expiry_time(F.col("expiry")))}
     )
     timed = timed.withWatermark("_event", f"{int(delay.total_seconds() * 1000)} milliseconds")
-    rows = timed.select(
-        *CONTRACT, *FIELDS, F.col("seq").cast("string").alias("seq"), F.unix_micros("_event").alias("micros"), "_event",
-        (end + int(grace.total_seconds() * 1000)).alias("ends_ms"),
-    )
+    # The keys that the watermark hasn't passed are state of their own: a batch adds its keys and
+    # rewrites no others, and a contract with many messages is spread. A repeat of an older
+    # message is late itself.
+    once = timed.dropDuplicates([*CONTRACT, "_event", "seq"])
+    rows = once.select(*CONTRACT, "_event", _message(end + int(grace.total_seconds() * 1000)).alias("message"))
     return rows.groupBy(*CONTRACT).transformWithState(
         statefulProcessor=_Merge(), outputStructType=_schema(OUTPUT), outputMode="Update", timeMode="EventTime"
     )

@@ -2,6 +2,7 @@ import json
 import os
 import random
 from datetime import timedelta
+from decimal import Decimal
 
 import pytest
 from helpers import AT, rows
@@ -97,3 +98,36 @@ def test_messages_of_several_partitions_have_one_order(spark):
     assert len(found) == 1
     [(_, merged)] = found
     assert {r[3].year for r in merged} == {2026} and {r[3].hour for r in merged} == {0}
+
+
+def test_a_batch_rewrites_no_state_of_earlier_messages(spark, tmp_path, rocksdb):
+    first = [timed(i, i % 9, "260702", "C", 4000, 1.0 + i, 2.0 + i) for i in range(300)]
+    batches = [first, [timed(300, 9, "260702", "C", 4000, 5.0, 6.0), first[7]], [first[8], timed(301, 9, "260702", "C", 4000, 7.0, 8.0)]]
+    folder, out = land(tmp_path / "in", batches), str(tmp_path / "out")
+    query = event_time.stream_merge_by_time(_stream(spark, folder), out)
+    query.awaitTermination()
+    rewritten = [sum(op.numRowsUpdated for op in p.stateOperators) for p in query.recentProgress if p.numInputRows]
+    assert len(rewritten) == 3 and rewritten[0] >= 300 and max(rewritten[1:]) < 10
+    assert rows(event_time.latest_by_time(spark, out), "bid", "n_updates") == [(7.0, 302)]
+
+
+def test_missing_zero_and_odd_values_are_no_news(spark, tmp_path, rocksdb):
+    schema = "ticker string, expiry string, strike double, option_type string, bid double, ask double, last double, mark double, " \
+        "volume bigint, open_interest bigint, bid_size bigint, ask_size bigint, symbol string, seq decimal(38,0), snapshot_time timestamp_ntz"
+    big, wide, later, nan = (1 << 53) + 1, Decimal(10**37), Decimal(10**37 + 1), float("nan")
+    contract = ("SPX", "2026-07-02", 4000.0, "call")
+    updates = [
+        (*contract, 1.5, -0.0, nan, 1e300, big, 0, 0, None, 'a"\\é', wide, AT),
+        (*contract, None, 0.0, 0.0, None, None, None, None, None, "", later, AT),
+        ("SPX", None, float("nan"), None, 0.1 + 0.2, 1e-7, None, 5.0, -1, 2, None, big, None, wide, AT),
+    ]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(updates, schema).write.parquet(path)
+    event_time.stream_merge_by_time(spark.readStream.schema(schema).parquet(path), out).awaitTermination()
+    shown = ["ticker", "expiry", "bid", "ask", "last", "mark", "volume", "open_interest", "bid_size", "ask_size", "symbol", "n_updates"]
+    assert sorted(map(str, rows(event_time.latest_by_time(spark, out), *shown))) == sorted(
+        map(str, [
+            ("SPX", "2026-07-02", 1.5, 0.0, nan, 1e300, big, 0, 0, None, 'a"\\é', 2),
+            ("SPX", None, 0.1 + 0.2, 1e-7, 0.0, 5.0, -1, 2, None, big, None, 1),
+        ])
+    )
