@@ -6,6 +6,7 @@ six decimals on both sides.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
@@ -729,16 +730,26 @@ def stream_quotes(spark, sf_dir):
 
 
 STREAM_BATCHES = 4
+# Events of a landed file; a micro-batch takes as many files as its share of them fills.
+LANDED_EVENTS = 50_000
 LANDED_PAGES = 40
 
 
+def _files_per_batch(events: DataFrame) -> int:
+    """So many that the files of a batch, and with them its tasks, grow in number and not in size."""
+    return max(1, math.ceil(events.count() / (STREAM_BATCHES * LANDED_EVENTS)))
+
+
+def _landed(spark, schema, path: str, per_batch: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
 def _live_quotes(spark, sf_dir) -> DataFrame:
     """The events table as a stream of several micro-batches: messages parsed as they arrive."""
     events = _events(spark, sf_dir)
-    landed = work_dir(spark, "events")
-    events.repartitionByRange(STREAM_BATCHES, "event_id").write.parquet(landed)
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-    return quotes_from_messages(_message(quotes_from_events(reader.parquet(landed))))
+    landed, per_batch = work_dir(spark, "events"), _files_per_batch(events)
+    events.repartitionByRange(STREAM_BATCHES * per_batch, "event_id").write.parquet(landed)
+    return quotes_from_messages(_message(quotes_from_events(_landed(spark, events.schema, landed, per_batch))))
 
 
 def _merged_stream(spark, live_quotes: DataFrame) -> DataFrame:
@@ -816,9 +827,12 @@ def stream_status(spark, sf_dir):
 def stream_merge_by_time(spark, sf_dir):
     """Every message twice and out of order, merged by the day that it bears."""
     events = _events(spark, sf_dir)
-    landed = work_dir(spark, "events")
-    events.unionByName(events).repartition(STREAM_BATCHES, F.col("event_id") * 7 % 64).write.parquet(landed)
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    twice = events.unionByName(events)
+    landed, per_batch = work_dir(spark, "events"), _files_per_batch(twice)
+    # Files beyond one for each batch are dealt by the whole id: 64 values don't fill many.
+    dealt = [F.col("event_id") * 7 % 64, *(["event_id"] if per_batch > 1 else [])]
+    twice.repartition(STREAM_BATCHES * per_batch, *dealt).write.parquet(landed)
+    reader = _landed(spark, events.schema, landed, per_batch)
     messages = quotes_from_messages(_message(quotes_from_events(reader, daily=True)))
     path, provider = work_dir(spark, "by-time"), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
