@@ -27,6 +27,8 @@ SEGMENTS = (2, 8, 16)
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 1024
 TILE = 1024
+#: Below this share of a tile's pairs, steps take them one by one.
+SPARSE = 1 / 32
 #: Scaled components are clamped to this, so that products of 128 components fit 64 bits.
 LARGEST = 1 << 27
 
@@ -63,58 +65,69 @@ class Block:
     """Vectors by ascending id, with their statistics at each resolution."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, segments=SEGMENTS):
-        order = np.lexsort((*vectors.T[::-1], ids))
+        order = np.argsort(ids, kind="stable")
+        if len(np.unique(ids)) < len(ids):
+            order = np.lexsort((*vectors.T[::-1], ids))
         ids, vectors = ids[order], vectors[order]
         once = np.append(True, ids[1:] != ids[:-1])  # a repeated id counts once
         self.ids, self.vectors = ids[once], vectors[once]
-        self.norms = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
+        self.real = self.vectors.astype(np.float64)
+        self.largest = float(np.abs(self.real).max(initial=0))
+        norms = (self.real**2).sum(axis=1)
         self.levels = [np.hstack(statistics(self.vectors, s)) for s in segments]
+        # Of the bound, what a vector adds by itself, with room for rounding.
+        self.rests = [(norms - (x**2).sum(axis=1)) / 2 + 1e-9 * norms + 5e-7 for x in self.levels]
 
 
 def best_of_block(queries: Block, candidates: Block, k: int = K, tile: int = TILE):
     """Query place, candidate id and score of each query's ``k`` best candidates.
 
     Candidates come by ascending id, so a later one replaces an earlier one only with a
-    higher score; one whose bound does not exceed the k-th score so far is out.
+    higher score; one whose bound does not exceed the k-th score so far is out. While many pairs
+    of a tile are left, a step takes the whole tile by a matrix product; else it takes pairs.
     """
     n = len(queries.ids)
     least = -(1 << 62)  # below every product
     scores = np.full((n, k), least)
     ids = np.full((n, k), np.iinfo(np.int64).max)
+    # Sums of whole numbers up to 2^53 are exact in a matrix product.
+    exact_tiles = queries.largest * candidates.largest * queries.vectors.shape[1] < 1 << 53
     for start in range(0, len(candidates.ids), tile):
-        end = min(start + tile, len(candidates.ids))
-        kth = scores[:, -1].astype(np.float64)
-        # |q - x|^2 >= |Q - X|^2 for the statistics Q, X; in terms of inner products:
+        part = slice(start, start + tile)
+        kth = scores[:, -1]
+        # |q - x|^2 >= |Q - X|^2 for the statistics Q, X, so qx <= QX + (|q|^2 - |Q|^2 + |x|^2 - |X|^2) / 2.
+        above = kth.astype(np.float64) + 1
+        left = queries.ids[:, None] != candidates.ids[None, part]
         rows = cols = None
-        for q, x in zip(queries.levels, candidates.levels, strict=True):
+        for q, x, q_rest, x_rest in zip(queries.levels, candidates.levels, queries.rests, candidates.rests, strict=True):
             if rows is None:
-                bound = _upper(
-                    queries.norms[:, None], candidates.norms[None, start:end],
-                    _apart(q, x[start:end]),
-                )
-                rows, cols = np.nonzero(bound > kth[:, None])
+                bound = q @ x[part].T
+                bound += x_rest[part]
+                left &= bound >= (above - q_rest)[:, None]
+                if np.count_nonzero(left) < left.size * SPARSE:
+                    rows, cols = np.nonzero(left)
             else:
-                keep = []
-                for i in range(0, len(rows), 1 << 18):
-                    r, c = rows[i : i + (1 << 18)], cols[i : i + (1 << 18)]
-                    gap = ((q[r] - x[start + c]) ** 2).sum(axis=1)
-                    keep.append(_upper(queries.norms[r], candidates.norms[start + c], gap) > kth[r])
-                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+                bound = _products(q, x[part], rows, cols) + x_rest[part][cols]
+                keep = bound >= (above - q_rest)[rows]
                 rows, cols = rows[keep], cols[keep]
-        own = queries.ids[rows] != candidates.ids[start + cols]
-        rows, cols = rows[own], cols[own] + start
+        if rows is None and exact_tiles:
+            product = queries.real @ candidates.real[part].T
+            product[~left] = -np.inf
+            # Of a tile a query needs no more than its k best, and those that equal the last of them.
+            most = min(k, product.shape[1])
+            lowest = np.partition(product, -most, axis=1)[:, -most]
+            rows, cols = np.nonzero((product > kth[:, None]) & (product >= lowest[:, None]))
+            exact = product[rows, cols].astype(np.int64)
+        else:
+            if rows is None:
+                rows, cols = np.nonzero(left)
+            exact = _products(queries.vectors, candidates.vectors[part], rows, cols)
         if not len(rows):
             continue
-        exact = np.concatenate(
-            [
-                (queries.vectors[rows[i : i + (1 << 18)]] * candidates.vectors[cols[i : i + (1 << 18)]]).sum(axis=1)
-                for i in range(0, len(rows), 1 << 18)
-            ]
-        )
         # Survivors and the k so far, by query, falling score and id.
         row = np.concatenate([rows, np.repeat(np.arange(n), k)])
         score = np.concatenate([exact, scores.ravel()])
-        vec = np.concatenate([candidates.ids[cols], ids.ravel()])
+        vec = np.concatenate([candidates.ids[part][cols], ids.ravel()])
         order = np.lexsort((vec, -score, row))
         row, score, vec = row[order], score[order], vec[order]
         first = np.searchsorted(row, np.arange(n))
@@ -126,15 +139,13 @@ def best_of_block(queries: Block, candidates: Block, k: int = K, tile: int = TIL
     return place, ids[place, rank], scores[place, rank]
 
 
-def _apart(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    squares = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :]
-    return squares - 2 * (q @ x.T)
-
-
-def _upper(q_norm, x_norm, gap) -> np.ndarray:
-    """Largest whole inner product at a squared distance of at least ``gap``."""
-    total = q_norm + x_norm
-    return np.floor((total - gap) / 2 + 1e-9 * total + 1e-6)
+def _products(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs ``rows, cols``."""
+    step = 1 << 16
+    parts = [
+        np.einsum("ij,ij->i", q[rows[i : i + step]], x[cols[i : i + step]]) for i in range(0, len(rows), step)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0, q.dtype)
 
 
 def _block(rows: pa.Table) -> Block:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from boxrates.llm import segment_search
 from boxrates.llm.segment_search import Block, best_of_block, statistics, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, rank string, score int"
@@ -73,3 +74,33 @@ def test_bounds_hold_and_prune():
         exact = x[10:] @ x[i]
         order = np.lexsort((np.arange(10, 500), -exact))[:5]
         assert list(ids[place == i]) == list(order + 10) and list(scores[place == i]) == list(exact[order])
+
+
+@pytest.mark.parametrize("sparse", [0.0, 1 / 32, 2.0])
+@pytest.mark.parametrize("largest", [3, 300, 1 << 27])
+def test_whole_tiles_and_pairs_give_the_same(monkeypatch, sparse, largest):
+    monkeypatch.setattr(segment_search, "SPARSE", sparse)
+    draw = np.random.default_rng(largest)
+    x = draw.integers(-largest, largest + 1, (300, 9))
+    x[200:240] = x[7]
+    ids = draw.permutation(300)
+    asked = ids % 10 == 0
+    q = Block(ids[asked], x[asked])
+    place, found_ids, scores = best_of_block(q, Block(ids, x), 5, tile=64)
+    for i, (own, vector) in enumerate(zip(q.ids, q.vectors, strict=True)):
+        best = sorted((-sum(map(int.__mul__, map(int, vector), map(int, y))), j) for y, j in zip(x, ids, strict=True) if j != own)[:5]
+        assert list(zip(-scores[place == i], found_ids[place == i], strict=True)) == best
+
+
+def test_pairs_that_no_bound_discards_are_not_taken_one_by_one(monkeypatch):
+    taken = []
+
+    def counted(q, x, rows, cols, products=segment_search._products):
+        taken.append(len(rows))
+        return products(q, x, rows, cols)
+
+    monkeypatch.setattr(segment_search, "_products", counted)
+    draw = np.random.default_rng(4)
+    x = draw.integers(-200, 200, (2000, 64))
+    best_of_block(Block(np.arange(100), x[:100]), Block(np.arange(2000), x), 5, tile=500)
+    assert sum(taken) < 100 * 2000 / 10
